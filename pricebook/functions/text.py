@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # French stop words of the search tokenizer.
 STOP_WORDS = (
@@ -92,7 +93,7 @@ def trigram_similarity(a, b):
     return jaccard(trigrams(a), trigrams(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two trimmed lower-case texts, 0 when one is empty."""
     out = []
