@@ -124,8 +124,11 @@ def reconcile_prices(q, pu, pt, tolerance=0.02):
 
 
 def round_prices(q, pu, pt):
-    return F.struct(F.bround(_c(q), 4).alias("quantite"), F.bround(_c(pu), 4).alias("prix_unitaire"),
-                    F.bround(_c(pt), 2).alias("prix_total"))
+    def half_even(c, scale):
+        return F.rint(_c(c) * float(scale)) / F.lit(float(scale))
+
+    return F.struct(half_even(q, 10000).alias("quantite"), half_even(pu, 10000).alias("prix_unitaire"),
+                    half_even(pt, 100).alias("prix_total"))
 
 
 def strip_prefix(col):

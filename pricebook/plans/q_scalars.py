@@ -132,8 +132,8 @@ reg("e13_round_prices", lambda t: t.lineitem.select(
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.round_prices(
         F.col("l_quantity") / 7, F.col("l_extendedprice") / 7, F.col("l_extendedprice") / 7).alias("p"))
     .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.*"),
-    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_quantity / 7, 4) as quantite,
-        round_even(l_extendedprice / 7, 4) as prix_unitaire, round_even(l_extendedprice / 7, 2) as prix_total from lineitem""")
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_quantity / 7 * 10000, 0) / 10000 as quantite,
+        round_even(l_extendedprice / 7 * 10000, 0) / 10000 as prix_unitaire, round_even(l_extendedprice / 7 * 100, 0) / 100 as prix_total from lineitem""")
 
 
 def prefixed(sql):

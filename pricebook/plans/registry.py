@@ -4,7 +4,7 @@ import importlib
 
 from pricebook.plans.fixtures import Tables
 
-MODULES = ("relational", "search", "stats", "quality", "scalars", "identify", "grid",
+MODULES = ("relational", "search", "stats", "quality", "scalars", "identify", "grid", "items",
            "load", "correct", "evaluate", "runs", "monitor", "sources")
 
 
