@@ -180,7 +180,7 @@ def score_elements(df: DataFrame, profile="main", compat=False) -> DataFrame:
             priced = priced | low.rlike(any_word(R.SERVICE_UNITS)) | (n > 30)
         df = df.withColumn("score", _pts(priced, 1))
         ok = F.col("_after") & priced
-    return df.withColumn("is_element", F.coalesce(plain & ok, F.lit(False))).drop("_q", "_pu", "_pt", "_after")
+    return df.withColumn("is_element", F.coalesce(plain & ok, F.lit(False))).drop("_after")
 
 
 def merge_continuations(df: DataFrame, limit=4, compat=False) -> DataFrame:
@@ -207,17 +207,17 @@ def merge_continuations(df: DataFrame, limit=4, compat=False) -> DataFrame:
             .withColumn("is_element", F.col("is_element") & ~F.col("consumed")).drop("_c", "_merged", "_base"))
 
 
-def build_elements(df: DataFrame, variant="main") -> DataFrame:
-    """Element columns: designation, article, unit and the completed, reconciled, rounded prices."""
-    e = df.filter("is_element")
+def build_elements(df: DataFrame, variant="main", keep=()) -> DataFrame:
+    """Element columns: designation, article, unit and the completed, reconciled, rounded prices.
+
+    Works on the parsed numbers the scoring step left; ``keep`` names further columns to carry.
+    """
     if variant == "enhanced":
-        q, pu, pt = (S.parse_number(c, "permissive") for c in ("q_cell", "pu_cell", "pt_cell"))
-        e = e.withColumn("_p", S.complete_prices(q, pu, pt))
+        e = df.withColumn("_p", S.complete_prices("_q", "_pu", "_pt"))
         return e.select(*SHEET, "row", "designation", F.lit("").alias("numero_article"),
                         F.substring("unit_cell", 1, 10).alias("unite"), "_p.quantite", "_p.prix_unitaire", "_p.prix_total",
-                        "kind", "multiligne")
-    q, pu, pt = (F.abs(S.parse_number(c)) for c in ("q_cell", "pu_cell", "pt_cell"))
-    e = e.withColumn("_p", S.complete_prices(q, pu, pt))
+                        "kind", "multiligne", *keep)
+    e = df.withColumn("_p", S.complete_prices(F.abs("_q"), F.abs("_pu"), F.abs("_pt")))
     e = e.withColumn("_k", S.apply_kind("kind", "designation", "_p.quantite", "_p.prix_unitaire", "_p.prix_total"))
     e = e.withColumn("_r", S.reconcile_prices("_k.quantite", "_k.prix_unitaire", "_k.prix_total"))
     e = e.withColumn("_n", S.round_prices("_r.quantite", "_r.prix_unitaire", "_r.prix_total"))
@@ -227,7 +227,7 @@ def build_elements(df: DataFrame, variant="main") -> DataFrame:
         *SHEET, "row", F.substring(F.when(art, F.col("_a.designation")).otherwise(F.col("_k.designation")), 1, 500).alias("designation"),
         F.when(art, F.col("_a.numero_article")).otherwise("").alias("numero_article"),
         F.when(F.col("unit_cell") == "", "").otherwise(F.substring(S.normalize_unit("unit_cell"), 1, 10)).alias("unite"),
-        "_n.quantite", "_n.prix_unitaire", "_n.prix_total", "kind", "multiligne")
+        "_n.quantite", "_n.prix_unitaire", "_n.prix_total", "kind", "multiligne", *keep)
 
 
 def attach_sections(df: DataFrame) -> DataFrame:
@@ -253,24 +253,28 @@ def classify(rows, mapping, profile="main", compat=False) -> DataFrame:
     return attach_sections(df)
 
 
+RECORD = ("designation", "numero_article", "unite", "quantite", "prix_unitaire", "prix_total", "kind", "multiligne")
+
+
 def parse_items(rows, mapping, profile="main", compat=False) -> DataFrame:
-    """Ordered stream of sections and elements of every sheet, default sections included."""
-    c = classify(rows, mapping, profile, compat)
-    none = F.lit(None)
-    sections = c.filter("pattern is not null").select(
-        *SHEET, "row", F.lit("section").alias("type"), "pattern", F.col("row").alias("section_row"),
-        F.col("numero_section").alias("section_numero"), F.col("titre_section").alias("section_titre"),
-        F.col("niveau_hierarchique").alias("section_niveau"))
-    kept = c.filter("is_element")
-    defaults = (kept.filter("section_row = -1").groupBy(*SHEET).agg(F.min("row").alias("row"))
-                .select(*SHEET, "row", F.lit("section").alias("type"), F.lit("default").alias("pattern"),
-                        F.lit(-1).alias("section_row"), *[F.lit(v).alias(n) for v, n in zip(
-                            R.DEFAULT_SECTION, ("section_numero", "section_titre", "section_niveau"))]))
-    records = build_elements(c, "main" if profile == "main" else "enhanced")
-    elements = records.join(kept.select(*SHEET, "row", "section_row", "section_numero", "section_titre", "section_niveau"),
-                            [*SHEET, "row"]).withColumn("type", F.lit("element"))
-    return (elements.unionByName(sections, allowMissingColumns=True)
-            .unionByName(defaults, allowMissingColumns=True))
+    """Ordered stream of sections and elements of every sheet, default sections included.
+
+    One pass: the grid is shuffled once, every kept row becomes its item, and
+    the first element without a section also yields the default section.
+    """
+    c = classify(rows, mapping, profile, compat).filter(F.col("pattern").isNotNull() | F.col("is_element"))
+    homeless = F.when(F.col("is_element") & (F.col("section_row") == -1), F.col("row"))
+    c = c.withColumn("_first", F.min(homeless).over(Window.partitionBy(*SHEET)))
+    keep = ("pattern", "section_row", "section_numero", "section_titre", "section_niveau", "_first")
+    e = build_elements(c, "main" if profile == "main" else "enhanced", keep)
+    kinds = F.when(F.col("pattern").isNotNull(), F.array(F.lit("section"))).when(
+        F.col("row") == F.col("_first"), F.array(F.lit("default"), F.lit("element"))).otherwise(F.array(F.lit("element")))
+    e = e.withColumn("type", F.explode(kinds))
+    return e.select(
+        *SHEET, "row", F.when(F.col("type") == "default", "section").otherwise(F.col("type")).alias("type"),
+        F.when(F.col("type") == "default", "default").otherwise(F.col("pattern")).alias("pattern"),
+        "section_row", "section_numero", "section_titre", "section_niveau",
+        *[F.when(F.col("type") == "element", F.col(x)).alias(x) for x in RECORD])
 
 
 def classify_rows_simple(rows: DataFrame, headers: DataFrame) -> DataFrame:

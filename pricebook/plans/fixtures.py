@@ -6,6 +6,9 @@ these frames, oracle queries from the same text as CTEs.
 """
 
 import re
+import zlib
+
+from pricebook.session import checkpoint_dir
 
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
@@ -170,16 +173,41 @@ def _views(d):
     v["cells"] = f"""
         select file_id, sheet, row, cast(c as int) as col, txt as text
         from {d.explode_pos('rows', 'cells', 'c', 'txt')}"""
-    v["log_lines"] = """
-        select concat('run_', cast(user_id % 8 as string), '.log') as file, event_id as line_no,
+    ev = d.idiv("event_id", "8")
+    name = "concat('DPGF_', cast(user_id as string), '.xlsx')"
+    v["log_lines"] = f"""
+        select concat('run_', cast(event_id % 8 as string), '.log') as file, {ev} as line_no,
                case event_type
-                 when 'error' then concat('2024-01-01 10:00:00 ERROR Erreur Excel: openpyxl error fichier DPGF_', cast(user_id as string), '.xlsx')
-                 when 'purchase' then concat('Import réussi DPGF_', cast(user_id as string), '.xlsx')
+                 when 'error' then case user_id % 4
+                   when 0 then concat('2024-01-01 10:00:00 ERROR Erreur Excel: openpyxl error fichier ', {name})
+                   when 1 then concat('Échec import du fichier ', {name}, ' : database error')
+                   when 2 then 'timeout sharepoint, connection error' else 'WARNING mapping_confidence CRITICAL_ERROR' end
+                 when 'purchase' then case user_id % 3
+                   when 0 then concat('Import réussi ', {name})
+                   when 1 then concat('Import technique réussi mais AUCUNE DONNÉE ', {name})
+                   else concat('Fichier identifié ', {name}, ' (confidence: 0.', cast(event_id % 10 as string), ')') end
                  when 'view' then concat(cast(event_id % 5 as string), ' lots, ', cast(event_id % 7 as string), ' sections, ', cast(event_id % 11 as string), ' éléments')
-                 when 'signup' then concat('traitement terminé en ', cast(cast(round(value * 100) as bigint) as string), ' secondes')
-                 else concat('[DPGF_', cast(user_id as string), '.xlsx] LOT DÉTECTÉ - Méthode: filename') end as text,
+                 when 'signup' then case user_id % 2
+                   when 0 then concat('traitement terminé en ', cast(cast(round(value * 100) as bigint) as string), ' secondes')
+                   else concat(cast(event_id % 9 as string), ' fichiers traités avec succès, total de ', cast(event_id % 9 + event_id % 3 as string), ' fichiers') end
+                 else case user_id % 6
+                   when 0 then concat('[', {name}, '] LOT DÉTECTÉ - Méthode: filename')
+                   when 1 then '==== DÉTECTION DE LOT ====' when 2 then 'LOT NON DÉTECTÉ - Méthode: content'
+                   when 3 then '==== DÉTECTION DES SECTIONS ET ÉLÉMENTS ====' when 4 then 'SECTION PAR DÉFAUT CRÉÉE - Numéro: 1'
+                   else concat('[', {name}, '] LOT DÉTECTÉ - Méthode: content') end end as text,
                cast(ts as timestamp) as ts
         from events"""
+    # identified files of run reports: one report per order month, one folder per order digit
+    v["report_files"] = """
+        select concat('workflow_', substr(cast(cast(o_orderdate as date) as string), 1, 7), '.json') as report_file,
+               concat('/src/', cast(o_orderkey % 10 as string)) as folder, path, name,
+               case when o_orderpriority like '1%' then 'BPU' when o_orderpriority like '2%' then 'DQE' else 'DPGF' end as type,
+               (o_orderkey % 7) / 10.0 + 0.3 as confidence,
+               case o_orderstatus when 'F' then 'success' when 'P' then 'failed' else case o_orderkey % 2 when 0 then 'unknown' else 'not_attempted' end end as import_status,
+               o_orderkey % 3 as lots_imported, o_orderkey % 3 * 4 as sections_imported, o_orderkey % 3 * 20 as elements_imported,
+               size, o_orderkey as seq, cast(o_orderdate as timestamp) as at,
+               cast(cast(round(o_totalprice) as bigint) % 900 as bigint) as seconds, cast(o_orderkey % 3 + 1 as int) as attempts
+        from orders join files on o_orderkey = file_id"""
     v["metrics"] = """
         select event_type as name, cast(round(value * 100) as bigint) as value_cents, value, cast(ts as timestamp) as ts,
                event_id as seq, concat('run_', cast(user_id % 8 as string), '.log') as source_file
@@ -193,14 +221,15 @@ def _views(d):
 _SPARK, _DUCK = _views(_D("spark")), _views(_D("duckdb"))
 
 
-def _closure(views, names):
-    """The named views and all they read, in order of definition."""
+def _closure(views, names, stop=()):
+    """The named views and all they read, in order of definition; ``stop`` views are not expanded."""
     want, todo = set(), list(names)
     while todo:
         n = todo.pop()
         if n in views and n not in want:
             want.add(n)
-            todo += [m for m in views if m != n and re.search(rf"\b(from|join)\s+\(?(select \*.*\bfrom\s+)?{m}\b|\bfrom {m}\b", views[n], re.S)]
+            if n not in stop:
+                todo += [m for m in views if m != n and re.search(rf"\b(from|join)\s+\(?(select \*.*\bfrom\s+)?{m}\b|\bfrom {m}\b", views[n], re.S)]
     return [n for n in views if n in want]
 
 
@@ -218,6 +247,12 @@ def oracle(sql, *names):
     return f"with {ctes} {sql}"
 
 
+# Entity tables and grids a deployment keeps in storage: written once per
+# application to the shared folder, then read by every query.
+STORED = ("lots", "sections", "elements", "rows")
+_written = {}
+
+
 class Tables:
     """Driver tables and canonical views of one data folder as DataFrames."""
 
@@ -232,9 +267,25 @@ class Tables:
             return self.base(name)
         if name not in _SPARK:
             raise AttributeError(name)
-        used = _closure(_SPARK, [name])
-        text = ", ".join(f"{n} as ({_SPARK[n]})" for n in used)
-        tables = [b for b in BASE if re.search(rf"\b{b}\b", text)]
-        ctes = [f"{b} as (select * from {{{b}}})" for b in tables]
-        sql = f"with {', '.join(ctes)}, {text} select * from {name}"
-        return self.spark.sql(sql, **{b: self.base(b) for b in tables})
+        return self._stored(name) if name in STORED else self._view(name)
+
+    def _view(self, name):
+        stop = [n for n in STORED if n != name]
+        used = _closure(_SPARK, [name], stop)
+        inputs = {n: self._stored(n) for n in used if n in stop}
+        text = ", ".join(f"{n} as ({_SPARK[n]})" for n in used if n not in stop)
+        inputs.update({b: self.base(b) for b in BASE if re.search(rf"\b{b}\b", text)})
+        ctes = [f"{n} as (select * from {{{n}}})" for n in inputs]
+        return self.spark.sql(f"with {', '.join(ctes)}, {text} select * from {name}", **inputs)
+
+    def _stored(self, name):
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _written:
+            try:
+                folder = checkpoint_dir(self.spark)
+            except ValueError:                      # cluster without a shared folder: plain view
+                return self._view(name)
+            path = f"{folder}/canonical-{key[0]}-{zlib.crc32(self.dir.encode()):08x}/{name}"
+            self._view(name).write.mode("overwrite").parquet(path)
+            _written[key] = path
+        return self.spark.read.parquet(_written[key])

@@ -220,7 +220,7 @@ BUILD = f"""b1 as (select *, abs(vq) as q0, abs(vu) as u0, abs(vt) as t0 from mg
     be as (select file_id, sheet, row, substr(case when sp then array_to_string(w[2:], ' ') else d2 end, 1, 500) as designation,
         case when sp then substr(w[1], 1, 20) else '' end as numero_article, case when unit_cell = '' then '' else substr({unit_sql('unit_cell')}, 1, 10) end as unite,
         round_even(q2 * 10000, 0) / 10000 as quantite, round_even(u3 * 10000, 0) / 10000 as prix_unitaire, round_even(t1 * 100, 0) / 100 as prix_total, kind, multiligne from b5)"""
-reg("g29_build_elements", lambda t: I.build_elements(I.merge_continuations(_scored(t, "main"))), f"with {FULL}, {BUILD} select * from be", "rows")
+reg("g29_build_elements", lambda t: I.build_elements(I.merge_continuations(_scored(t, "main")).filter("is_element")), f"with {FULL}, {BUILD} select * from be", "rows")
 ATT = f"""ats as (select *, coalesce(last_value(case when pattern is not null then row end ignore nulls) {W}, -1) as section_row,
     coalesce(last_value(numero_section ignore nulls) {W}, '1') as section_numero, coalesce(last_value(titre_section ignore nulls) {W}, 'Éléments du bordereau') as section_titre,
     coalesce(last_value(niveau_hierarchique ignore nulls) {W}, 1) as section_niveau from mg)"""
