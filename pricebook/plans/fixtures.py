@@ -202,10 +202,10 @@ def _views(d):
         select concat('workflow_', substr(cast(cast(o_orderdate as date) as string), 1, 7), '.json') as report_file,
                concat('/src/', cast(o_orderkey % 10 as string)) as folder, path, name,
                case when o_orderpriority like '1%' then 'BPU' when o_orderpriority like '2%' then 'DQE' else 'DPGF' end as type,
-               (o_orderkey % 7) / 10.0 + 0.3 as confidence,
+               cast(o_orderkey % 7 + 3 as double) / cast(10 as double) as confidence,
                case o_orderstatus when 'F' then 'success' when 'P' then 'failed' else case o_orderkey % 2 when 0 then 'unknown' else 'not_attempted' end end as import_status,
                o_orderkey % 3 as lots_imported, o_orderkey % 3 * 4 as sections_imported, o_orderkey % 3 * 20 as elements_imported,
-               size, o_orderkey as seq, cast(o_orderdate as timestamp) as at,
+               size, o_orderkey as seq, cast(o_orderdate as timestamp) as run_at,
                cast(cast(round(o_totalprice) as bigint) % 900 as bigint) as seconds, cast(o_orderkey % 3 + 1 as int) as attempts
         from orders join files on o_orderkey = file_id"""
     v["metrics"] = """
