@@ -34,10 +34,33 @@ def extract(col, pattern, group=1, case=False):
     return F.when(c.rlike(rx(pattern, case)), F.regexp_extract(c, rx(pattern, case), group))
 
 
+def _quote(ch):
+    return "\\" + ch if ch in r"\.+*?()[]{}^$|-&" else ch
+
+
+def one_of(words):
+    """Plain alternation over a literal word list, for anchored use."""
+    return "(" + "|".join("".join(_quote(c) for c in w) for w in words) + ")"
+
+
 def any_word(words):
-    """Alternation over a literal word list."""
-    return "(" + "|".join(w.replace(".", r"\.").replace("+", r"\+").replace("(", r"\(").replace(")", r"\)")
-                          for w in words) + ")"
+    """Pattern for "contains one of the words".
+
+    Words that contain another listed word are dropped and common beginnings
+    shared, so that each text position is tried once per first letter instead
+    of once per word.
+    """
+    words = sorted(set(words), key=len)
+    least = [w for i, w in enumerate(words) if not any(v in w for v in words[:i])]
+
+    def branch(rest):
+        heads = {}
+        for w in rest:
+            heads.setdefault(w[0], []).append(w[1:])
+        parts = [_quote(c) + ("" if "" in tails else branch(tails)) for c, tails in sorted(heads.items())]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return branch(least)
 
 
 def contains_any(col, words):

@@ -95,18 +95,20 @@ def column_confidence(headers, kind):
     return F.greatest(*[share(p) for p in HEADERS[kind]])
 
 
-def deep_bonus(rows: DataFrame, header_row=0, max_cols=30) -> DataFrame:
+def deep_bonus(rows: DataFrame, header_row=0) -> DataFrame:
     """Bonus per type from the number of numeric columns and the price or amount headers."""
-    body = F.col("row") > header_row
-    flags = []
-    for i in range(max_cols):
-        cell = F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-        num, txt = cell_number(cell).isNotNull(), (cell != "")
-        flags.append(F.when((F.count_if(body & num) > 0) & (F.count_if(body & txt & ~num) == 0), 1).otherwise(0))
-    head = F.max(F.when(F.col("row") == header_row, F.array_join(F.transform("cells", normalize_text), "|")))
-    s = rows.groupBy(*SHEET).agg(sum(flags[1:], flags[0]).alias("n"), F.coalesce(head, F.lit("")).alias("h"))
-    amount = F.when((F.col("n") >= 3) & F.col("h").rlike("montant|total"), 0.2).otherwise(0.0)
-    price = F.when((F.col("n") <= 2) & F.col("h").contains("prix"), 0.2).otherwise(0.0)
+    c = rows.select(*SHEET, "row", F.posexplode("cells").alias("col", "text"))
+    body = (F.col("row") > header_row) & (F.col("text") != "")
+    number = body & cell_number(F.col("text")).isNotNull()
+    per = c.groupBy(*SHEET, "col").agg(
+        F.count_if(number).alias("n"), F.count_if(body).alias("filled"),
+        F.max(F.when(F.col("row") == header_row, normalize_text("text"))).alias("h"))
+    s = per.groupBy(*SHEET).agg(
+        F.count_if((F.col("n") > 0) & (F.col("n") == F.col("filled"))).cast("int").alias("n"),
+        F.coalesce(F.bool_or(F.col("h").rlike("montant|total")), F.lit(False)).alias("_mt"),
+        F.coalesce(F.bool_or(F.col("h").contains("prix")), F.lit(False)).alias("_px"))
+    amount = F.when((F.col("n") >= 3) & F.col("_mt"), 0.2).otherwise(0.0)
+    price = F.when((F.col("n") <= 2) & F.col("_px"), 0.2).otherwise(0.0)
     return s.select(*SHEET, F.col("n").alias("numeric_columns"), amount.alias("bonus_DPGF"),
                     price.alias("bonus_BPU"), amount.alias("bonus_DQE"))
 

@@ -15,10 +15,13 @@ from pricebook.functions.text import any_word, first_rule, rx
 from pricebook.operators.identify import SHEET
 from pricebook.operators.scale import key_text
 
-BY_ROW = Window.partitionBy(*SHEET).orderBy("row")
 MAX_LEVEL = 10
 
 
+def by_row():
+    return Window.partitionBy(*SHEET).orderBy("row")
+
+
 def lines(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows below the header as text, unit, quantity, unit price and total cells."""
     def cell(role, default=None):
@@ -39,10 +42,14 @@ def _pattern(p, any_case):
 
 
 def detect_sections(df: DataFrame, profile="main") -> DataFrame:
-    """Name of the first section pattern a text matches, NULL for other rows."""
+    """Name of the first section pattern a text matches, NULL for other rows.
+
+    No pattern starts with a small letter, but for the two that ignore case
+    (LOT, ART): one cheap test spares most element rows the cascade.
+    """
     t = F.col("text")
-    return df.withColumn("pattern", first_rule(
-        [(t.rlike(_pattern(p, ci)), name) for name, p, ci, _, _ in R.PROFILES[profile]]))
+    cascade = first_rule([(t.rlike(_pattern(p, ci)), name) for name, p, ci, _, _ in R.PROFILES[profile]])
+    return df.withColumn("pattern", F.when(t.rlike(r"^(?:\P{Ll}|[la])"), cascade))
 
 
 def stable_number(title, prefix, digits):
@@ -106,7 +113,7 @@ def _level(rule):
 
 def section_level(df: DataFrame) -> DataFrame:
     """Closed levels: a total takes the level of the section before it, at least 2."""
-    known = F.last("_level", ignorenulls=True).over(BY_ROW)
+    known = F.last("_level", ignorenulls=True).over(by_row())
     is_sec = F.col("pattern").isNotNull()
     return df.withColumn("niveau_hierarchique", F.when(is_sec, F.coalesce(
         "_level", F.greatest(F.lit(2), F.coalesce(known, F.lit(0)))))).drop("_level")
@@ -114,7 +121,7 @@ def section_level(df: DataFrame) -> DataFrame:
 
 def section_parents(sections: DataFrame) -> DataFrame:
     """Row and number of the nearest earlier section of a smaller level (levels above 10 count as 10)."""
-    before = BY_ROW.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_row().rowsBetween(Window.unboundedPreceding, -1)
     lvl = F.least("niveau_hierarchique", F.lit(MAX_LEVEL))
     s = sections.withColumn("_l", lvl)
     here = F.struct("row", "numero_section")
@@ -141,7 +148,7 @@ def score_elements(df: DataFrame, profile="main", compat=False) -> DataFrame:
     df = df.withColumn("_q", q).withColumn("_pu", pu).withColumn("_pt", pt)
     q, pu, pt = F.col("_q"), F.col("_pu"), F.col("_pt")
     unit = F.lower("unit_cell")
-    next_text = F.when(F.lead("row").over(BY_ROW) == F.col("row") + 1, F.lead("text").over(BY_ROW))
+    next_text = F.when(F.lead("row").over(by_row()) == F.col("row") + 1, F.lead("text").over(by_row()))
     cont = F.coalesce(next_text.rlike(("(?i)" if compat else "") + R.CONTINUATION), F.lit(False))
     first = F.coalesce(F.get(F.split(t, " +"), F.lit(0)), F.lit(""))
     plain = F.col("pattern").isNull() & (t != "")
@@ -174,7 +181,7 @@ def score_elements(df: DataFrame, profile="main", compat=False) -> DataFrame:
         ok = (n > 3) & (number | has_unit | F.col("has_article")) & (F.col("score") >= 2)
     else:
         priced = (F.col("pt_cell") != "") | ((F.col("pu_cell") != "") & (F.col("q_cell") != ""))
-        after = F.last(F.when(F.col("pattern").isNotNull(), F.col("row")), ignorenulls=True).over(BY_ROW).isNotNull()
+        after = F.last(F.when(F.col("pattern").isNotNull(), F.col("row")), ignorenulls=True).over(by_row()).isNotNull()
         df = df.withColumn("_after", after).withColumn("kind", F.lit("standard")).withColumn("has_article", F.lit(False))
         if profile == "service":
             priced = priced | low.rlike(any_word(R.SERVICE_UNITS)) | (n > 30)
@@ -186,16 +193,20 @@ def score_elements(df: DataFrame, profile="main", compat=False) -> DataFrame:
 def merge_continuations(df: DataFrame, limit=4, compat=False) -> DataFrame:
     """Append up to ``limit`` continuation lines to the element above them.
 
-    By default the appended rows are consumed; ``compat`` leaves them as rows.
+    By default a continuation has text only (a row with its own unit or figures
+    is an item of its own) and is consumed; ``compat`` goes by the text alone
+    and leaves the appended rows as rows.
     """
-    prev_adjacent = F.lag("row").over(BY_ROW) == F.col("row") - 1
+    prev_adjacent = F.lag("row").over(by_row()) == F.col("row") - 1
+    if not compat:
+        prev_adjacent = prev_adjacent & (F.concat("unit_cell", "q_cell", "pu_cell", "pt_cell") == "")
     cont = F.coalesce(F.col("pattern").isNull() & prev_adjacent & F.col("text").rlike(("(?i)" if compat else "") + R.CONTINUATION), F.lit(False))
     df = df.withColumn("_c", cont)
     parts, go = [F.col("text")], F.lit(True)
     for k in range(1, limit + 1):
-        go = go & F.coalesce(F.lead("_c", k).over(BY_ROW), F.lit(False))
-        parts.append(F.when(go, F.lead("text", k).over(BY_ROW)))
-    base = F.last(F.when(~F.col("_c"), F.struct("row", "is_element")), ignorenulls=True).over(BY_ROW)
+        go = go & F.coalesce(F.lead("_c", k).over(by_row()), F.lit(False))
+        parts.append(F.when(go, F.lead("text", k).over(by_row())))
+    base = F.last(F.when(~F.col("_c"), F.struct("row", "is_element")), ignorenulls=True).over(by_row())
     df = df.withColumn("_merged", F.concat_ws(" ", *parts)).withColumn("_base", base)
     eaten = F.col("_c") & F.coalesce(F.col("_base.is_element"), F.lit(False)) & (F.col("row") - F.col("_base.row") <= limit)
     if compat:
@@ -234,7 +245,7 @@ def attach_sections(df: DataFrame) -> DataFrame:
     """Current section of each row; elements before the first section get the default one."""
     here = F.when(F.col("pattern").isNotNull(), F.struct(F.col("row").alias("r"), "numero_section", "titre_section", "niveau_hierarchique"))
     num, title, level = R.DEFAULT_SECTION
-    df = df.withColumn("_s", F.last(here, ignorenulls=True).over(BY_ROW))
+    df = df.withColumn("_s", F.last(here, ignorenulls=True).over(by_row()))
     return (df.withColumn("section_row", F.coalesce("_s.r", F.lit(-1)))
             .withColumn("section_numero", F.coalesce("_s.numero_section", F.lit(num)))
             .withColumn("section_titre", F.coalesce("_s.titre_section", F.lit(title)))

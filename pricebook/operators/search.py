@@ -153,24 +153,31 @@ def match_text(flat, text, limit=10, **filters):
             .orderBy(F.desc("_raw"), "id_element").limit(limit).drop("_raw"))
 
 
-def search_similar(df, q, threshold=0.7, limit=50, text="designation", method="trigram"):
-    """Rows whose text is close to ``q``: trigram share above, or sequence ratio at least, the threshold."""
+def search_similar(df, q, threshold=0.7, limit=50, text="designation", method="trigram", texts=None):
+    """Rows whose text is close to ``q``: trigram share above, or sequence ratio at least, the threshold.
+
+    Designations repeat, so each distinct text is scored once and the few close
+    ones are joined back. ``texts`` may name a cheaper frame that holds all
+    texts of ``df`` (the stored elements, say).
+    """
+    # the score reads the count, else the filter would be pushed below the aggregate and run per row
+    t = (df if texts is None else texts).groupBy(text).agg(F.count("*").alias("_n"))
     if method == "trigram":
-        scored = df.withColumn("similarity", jaccard(trigrams(text), trigrams(F.lit(q.strip().lower()))))
+        scored = t.withColumn("similarity", F.when(F.col("_n") > 0, jaccard(trigrams(text), trigrams(F.lit(q.strip().lower())))))
         scored = scored.filter(F.col("similarity") > threshold)
     else:
         # exact bound of the ratio by length, tested before any Python work: 2*min/(a+b) >= ratio
         a, b = F.length(F.trim(F.col(text))), F.lit(len(q.strip()))
-        scored = (df.filter(2 * F.least(a, b) >= threshold * (a + b))
+        scored = (t.filter(2 * F.least(a, b) >= threshold * (a + b))
                   .withColumn("similarity", sequence_ratio(F.lit(q), F.col(text)))
                   .filter(F.col("similarity") >= threshold))
-    scored = scored.orderBy(F.desc("similarity"), "id_element")
-    return scored.limit(limit) if limit else scored
+    found = df.join(scored.drop("_n"), text)
+    return found.orderBy(F.desc("similarity"), "id_element").limit(limit) if limit else found
 
 
-def fuzzy_search(flat, paths, q, threshold=70.0, limit=None):
+def fuzzy_search(flat, paths, q, threshold=70.0, limit=None, texts=None):
     """Similar elements with project, lot and section path, best first."""
-    hits = search_similar(flat, q, threshold / 100.0, limit)
+    hits = search_similar(flat, q, threshold / 100.0, limit, texts=texts)
     return (hits.join(paths.select("id_section", "chemin"), "id_section", "left")
             .select("id_element", "designation", "unite", "quantite", "prix_unitaire",
                     (F.col("similarity") * 100).alias("score"), F.col("nom_projet").alias("dpgf_source"),
@@ -243,16 +250,16 @@ def similar_price(flat, target, unite=None, tolerance=20.0, limit=20):
             .orderBy("ecart", "id_element").limit(limit))
 
 
-def price_history(flat, q, min_similarity=70):
+def price_history(flat, q, min_similarity=70, texts=None):
     """Count and price statistics of similar elements, per year and overall (year NULL)."""
-    hits = search_similar(flat, q, min_similarity / 100.0, None).withColumn("annee", F.year("date_dpgf"))
+    hits = search_similar(flat, q, min_similarity / 100.0, None, texts=texts).withColumn("annee", F.year("date_dpgf"))
     return hits.rollup("annee").agg(
         F.count("*").alias("elements"),
         (F.sum("prix_unitaire").cast("double") / F.count("prix_unitaire")).alias("average_price"),
         F.min("prix_unitaire").alias("min_price"), F.max("prix_unitaire").alias("max_price"))
 
 
-def fuzzy_listing(flat, q, min_similarity=70, limit=50):
-    return search_similar(flat, q, min_similarity / 100.0, limit).select(
+def fuzzy_listing(flat, q, min_similarity=70, limit=50, texts=None):
+    return search_similar(flat, q, min_similarity / 100.0, limit, texts=texts).select(
         "id_element", "designation", "unite", "prix_unitaire", "nom_projet", F.year("date_dpgf").alias("annee"),
         (F.col("similarity") * 100).alias("score"))

@@ -53,7 +53,7 @@ BONUS = f"""bc as (select file_id, sheet, col, count(*) filter (where row > 2 an
         coalesce(bool_or(contains(hd, 'prix')), false) as px from bc group by all),
     bb as (select file_id, sheet, nc::int as numeric_columns, case when nc >= 3 and mt then 0.2 else 0.0 end::double as bonus_DPGF,
         case when nc <= 2 and px then 0.2 else 0.0 end::double as bonus_BPU, case when nc >= 3 and mt then 0.2 else 0.0 end::double as bonus_DQE from bo)"""
-reg("f04_deep_bonus", lambda t: I.deep_bonus(t.rows, 2, 8), f"with {BONUS} select * from bb", "cells")
+reg("f04_deep_bonus", lambda t: I.deep_bonus(t.rows, 2), f"with {BONUS} select * from bb", "cells")
 
 
 def classify_sql(mode, deep):

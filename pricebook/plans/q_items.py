@@ -197,7 +197,8 @@ def merge_sql(compat=False):
         parts.append(f"case when {' and '.join(go)} then lead(text, {k}) {W} end")
     head = "is_element" if compat else "(is_element and not c)"
     eaten = "false" if compat else "(c and coalesce(be, false) and row - br <= 4)"
-    return f"""m1 as (select *, coalesce(pattern is null and lag(row) {W} = row - 1 and regexp_matches(text, '{fl}{R.CONTINUATION}'), false) as c from el),
+    bare = "" if compat else "and unit_cell || q_cell || pu_cell || pt_cell = ''"
+    return f"""m1 as (select *, coalesce(pattern is null and lag(row) {W} = row - 1 {bare} and regexp_matches(text, '{fl}{R.CONTINUATION}'), false) as c from el),
         m2 as (select *, concat_ws(' ', {', '.join(parts)}) as mt, last_value(case when not c then row end ignore nulls) {W} as br,
             last_value(case when not c then is_element end ignore nulls) {W} as be from m1),
         mg as (select * replace (is_element and not {eaten} as is_element), {head} and mt <> text as multiligne, case when {head} then mt else text end as designation,

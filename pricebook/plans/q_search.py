@@ -45,6 +45,12 @@ PLANS["c01_tokenize"] = (
     lambda t: t.documents.select("doc_id", F.explode(T.tokenize("text")).alias("token")).groupBy("doc_id", "token")
     .agg(F.count("*").alias("n")),
     f"select doc_id, token, count(*) as n from (select doc_id, unnest({tok_sql('text')}) as token from documents) group by 1, 2")
+
+
+def texts(t):
+    return t.elements.select(F.col("designation_exacte").alias("designation"))
+
+
 PLANS["c02_apply_filters"] = (
     lambda t: S.apply_filters(flat(t), lot_numero="03", min_price=100, max_price=5000).select("id_element"),
     oracle("select id_element from elements_flat where numero_lot = '03' and prix_unitaire between 100 and 5000", "elements_flat"))
@@ -123,11 +129,11 @@ PLANS["c12_sequence_ratio"] = (
     lambda t: t.part.groupBy("p_name", "p_type").agg(F.count("*").alias("n"))
     .withColumn("ratio", T.sequence_ratio("p_name", "p_type")), None)
 PLANS["c13_search_similar"] = (
-    lambda t: S.search_similar(flat(t), "red widgets", 0.5, 200).select("id_element", "similarity"),
+    lambda t: S.search_similar(flat(t), "red widgets", 0.5, 200, texts=texts(t)).select("id_element", "similarity"),
     oracle(f"""select * from (select id_element, {sim_sql('designation', "'red widgets'")} as similarity from elements_flat)
         where similarity > 0.5 order by similarity desc, id_element limit 200""", "elements_flat"))
 PLANS["c14_fuzzy_search"] = (
-    lambda t: S.fuzzy_search(flat(t), R.section_path(t.sections), "cold rod", 70.0).select(
+    lambda t: S.fuzzy_search(flat(t), R.section_path(t.sections), "cold rod", 70.0, texts=texts(t)).select(
         "id_element", "score", "dpgf_source", "lot", "section"),
     oracle(f"""with recursive tr as (select id_section, titre_section as chemin from sections where section_parent_id is null
           union all select s.id_section, chemin || ' → ' || titre_section from sections s join tr on s.section_parent_id = tr.id_section),
@@ -149,13 +155,13 @@ PLANS["c16_similar_price"] = (
     oracle("""select id_element, abs(prix_unitaire::double - 1500.0) as ecart from elements_flat
         where prix_unitaire::double between 1200.0 and 1800.0 and unite = 'm2' order by ecart, id_element limit 100""", "elements_flat"))
 PLANS["c17_price_history"] = (
-    lambda t: dbl(S.price_history(flat(t), "old gear", 60), "min_price", "max_price").withColumn("annee", F.coalesce("annee", F.lit(0))),
+    lambda t: dbl(S.price_history(flat(t), "old gear", 60, texts(t)), "min_price", "max_price").withColumn("annee", F.coalesce("annee", F.lit(0))),
     oracle(f"""with h as (select *, {sim_sql('designation', "'old gear'")} as sim from elements_flat)
         select coalesce(year(date_dpgf), 0) as annee, count(*) as elements, sum(prix_unitaire)::double / count(prix_unitaire) as average_price,
         min(prix_unitaire)::double as min_price, max(prix_unitaire)::double as max_price from h where sim > 0.6 group by rollup(year(date_dpgf))""",
            "elements_flat"))
 PLANS["c18_fuzzy_listing"] = (
-    lambda t: S.fuzzy_listing(flat(t), "hot plates", 50, 200).select("id_element", "nom_projet", "annee", "score"),
+    lambda t: S.fuzzy_listing(flat(t), "hot plates", 50, 200, texts(t)).select("id_element", "nom_projet", "annee", "score"),
     oracle(f"""with h as (select *, {sim_sql('designation', "'hot plates'")} as sim from elements_flat)
         select id_element, nom_projet, year(date_dpgf) as annee, sim * 100 as score from h where sim > 0.5 order by sim desc, id_element limit 200""",
            "elements_flat"))

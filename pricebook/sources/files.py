@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebook.functions.text import any_word
+from pricebook.functions.text import any_word, one_of
 from pricebook.operators.scale import hash_id
 
 # Listing rules.
@@ -19,9 +19,9 @@ def list_files(spark, path, exts=RULES["extensions"], exclude_dirs=(), max_files
     """Recursive listing; the content column is never read."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
           .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")))
-    df = df.filter(F.lower("path").rlike(any_word(exts) + "$"))
+    df = df.filter(F.lower("path").rlike(one_of(exts) + "$"))
     if exclude_dirs:
-        df = df.filter(~F.lower("path").rlike("/" + any_word([d.lower() for d in exclude_dirs]) + "/"))
+        df = df.filter(~F.lower("path").rlike("/" + one_of([d.lower() for d in exclude_dirs]) + "/"))
     df = df.withColumn("name", base_name()).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     df = df.withColumn("file_id", hash_id("path"))
     return df.orderBy("path").limit(max_files) if max_files else df
@@ -30,13 +30,13 @@ def list_files(spark, path, exts=RULES["extensions"], exclude_dirs=(), max_files
 def filter_files(files: DataFrame, rules=RULES) -> DataFrame:
     upper = F.upper("name")
     return files.filter(
-        F.lower("name").rlike(any_word(rules["extensions"]) + "$")
+        F.lower("name").rlike(one_of(rules["extensions"]) + "$")
         & F.col("size").between(rules["min_kb"] * 1024, rules["max_mb"] * 1024 * 1024)
         & upper.rlike(any_word(rules["required"])) & ~upper.rlike(any_word(rules["excluded"])))
 
 
 def new_files(files, since, exts=(".xlsx", ".xls")):
-    return files.filter((F.col("modified") >= F.lit(since).cast("timestamp")) & F.lower("name").rlike(any_word(exts) + "$"))
+    return files.filter((F.col("modified") >= F.lit(since).cast("timestamp")) & F.lower("name").rlike(one_of(exts) + "$"))
 
 
 def pending_files(files, ledger):
@@ -66,5 +66,5 @@ def folder_summary(files, sample=5, first=10, exts=RULES["extensions"]):
     w = Window.partitionBy("folder").orderBy("path", "file_id")
     s = (files.join(F.broadcast(folders), "folder").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= first)
          .groupBy("folder").agg(F.count("*").alias("sample_files"),
-                                F.count_if(F.lower("name").rlike(any_word(exts) + "$")).alias("excel_files")))
+                                F.count_if(F.lower("name").rlike(one_of(exts) + "$")).alias("excel_files")))
     return s.withColumn("estimated_files", F.col("sample_files") * 5).crossJoin(F.broadcast(n))
