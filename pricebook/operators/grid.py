@@ -42,7 +42,11 @@ def header_hits(cells, profile="main"):
     for role in ROLES:
         pats = P.HEADER[profile][role]
         if by_row:
-            found = text.rlike(anyrx(pats)) | F.exists(low, _matcher(anyrx(pats, True)))
+            # a whole-cell match matters only for anchored wording: all else already shows in the row text
+            anchored = [p for p in pats if p[0] == "^" or p[-1] == "$"]
+            found = text.rlike(anyrx(pats))
+            if anchored:
+                found = found | F.exists(low, _matcher(anyrx(anchored, True)))
         else:
             found = F.exists(low, _matcher(anyrx(pats)))
         hits.append(F.when(found, 1).otherwise(0))

@@ -81,12 +81,13 @@ def section_fields(df: DataFrame, profile="main") -> DataFrame:
         nums.append((name == n, num))
         titles.append((name == n, title))
         levels.append((name == n, _level(level)))
-    df = df.withColumn("_num", first_rule(nums)).withColumn("_title", first_rule(titles))
+    is_sec = name.isNotNull()           # spares other rows the chains of comparisons
+    df = df.withColumn("_num", F.when(is_sec, first_rule(nums))).withColumn("_title", F.when(is_sec, first_rule(titles)))
 
     def cut(c, limit):
         return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
 
-    return (df.withColumn("_level", first_rule(levels).cast("int"))
+    return (df.withColumn("_level", F.when(is_sec, first_rule(levels).cast("int")))
             .withColumn("numero_section", cut(F.col("_num"), 50)).withColumn("titre_section", cut(F.col("_title"), 255))
             .drop("_num", "_title"))
 
