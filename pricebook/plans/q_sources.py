@@ -20,13 +20,13 @@ reg("a04_new_files", lambda t: S.new_files(t.files, "1998-06-01").select("path",
 
 
 def _ledger(t):
-    return t.files.filter("file_id % 10 < 4 and modified < timestamp '1997-01-01'").select("path").distinct().withColumn("processed_name", F.lit("ancien"))
+    return t.files.filter("folder < '/src/4' and modified < timestamp '1997-01-01'").select("path").distinct().withColumn("processed_name", F.lit("ancien"))
 
 
 reg("a05_pending_files", lambda t: S.pending_files(t.files, _ledger(t)).select("path", "file_id"),
-    "select path, file_id from files where path not in (select path from files where file_id % 10 < 4 and modified < timestamp '1997-01-01')", "files")
+    "select path, file_id from files where path not in (select path from files where folder < '/src/4' and modified < timestamp '1997-01-01')", "files")
 reg("a05_mark_processed", lambda t: S.mark_processed(t.files, _ledger(t), "2025-07-01 10:20:30"),
-    """with l as (select distinct path from files where file_id % 10 < 4 and modified < timestamp '1997-01-01')
+    """with l as (select distinct path from files where folder < '/src/4' and modified < timestamp '1997-01-01')
     select path, 'ancien' as processed_name from l union all
     select distinct path, regexp_replace(name, '\\.[^.]*$', '') || '_traite_20250701_102030' || regexp_extract(name, '(\\.[^.]*)$', 1) from files where path not in (select path from l)""", "files")
 reg("a06_list_folders", lambda t: S.list_folders(t.files, ["1", "3", "7"]),
