@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import decontaminate, quality_rules
+from pricebook.llm import decontaminate, quality_rules, simhash
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -20,8 +20,13 @@ def op4_decontaminate(spark, sf_dir):
                     _digest(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op5_simhash(spark, sf_dir):
+    r = simhash.cluster(_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_simhash, op10_quality_rules)}
