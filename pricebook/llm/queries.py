@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import decontaminate, quality_rules, simhash
+from pricebook.llm import decontaminate, quality_rules, simhash, token_shards
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -14,6 +14,11 @@ def _digest(col):
     return F.sha2(col.cast("binary"), 256)
 
 
+def op2_token_shards(spark, sf_dir):
+    r = token_shards.encode_documents(_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_decontaminate(spark, sf_dir):
     r = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return r.select("doc_id", "n_words", "n_hit", "n_items",
@@ -29,4 +34,4 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_shards, op4_decontaminate, op5_simhash, op10_quality_rules)}
