@@ -1,5 +1,6 @@
 """DuckDB twins of the registered queries."""
 
+from pricebook.llm import mixing as m
 from pricebook.llm import quality_rules as q
 
 ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,4 +71,25 @@ from c left join cut on c.lang is not distinct from cut.lang
 """
 
 
-ORACLE_SQL = {"op4_decontaminate": OP4, "op10_quality_rules": _op10()}
+OP8 = f"""
+with d0 as materialized (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')) tokens,
+    md5(concat_ws('|', coalesce(cast(doc_id as varchar), ''), coalesce(source, ''), coalesce(text, ''))) k from documents),
+d as materialized (select doc_id, source, tokens, k || '.' || row_number() over (partition by k) k from d0),
+s as materialized (select source, sum(tokens) t from d group by 1 having sum(tokens) > 0),
+x as materialized (
+  select max(t) top, round(greatest(0, case when max(t) = min(t) then 0 else 1 - ln({m.MAX_REPEATS}) / ln(max(t) / min(t)) end), 6) x from s),
+q as materialized (select source, t, cast(floor(t * exp((x - 1) * ln(t / top)) + 1e-6) as bigint) quota from s, x),
+e as materialized (
+  select doc_id, d.source, tokens, k, cast(coalesce(quota // t, 1) as bigint) whole, coalesce(quota % t, 0) rest
+  from d left join q on d.source is not distinct from q.source),
+part as (
+  select *, coalesce(sum(tokens) over (partition by source order by md5('{m.SEED}|' || whole || '|' || k)
+    rows between unbounded preceding and 1 preceding), 0) ahead from e where rest > 0),
+r as (select doc_id, source, tokens, k, unnest(generate_series(0, whole - 1)) block from e where whole > 0
+      union all select doc_id, source, tokens, k, whole from part where ahead < rest)
+select doc_id, source, cast(tokens as bigint) tokens, cast(block as bigint) block, md5('{m.SEED}|' || block || '|' || k) place from r
+"""
+
+
+ORACLE_SQL = {"op8_temperature_mixing": OP8, "op4_decontaminate": OP4, "op10_quality_rules": _op10()}
