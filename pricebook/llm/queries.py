@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import decontaminate, mixing, quality_rules, simhash, token_shards
+from pricebook.llm import decontaminate, mixing, quality_rules, secret_scan, simhash, token_shards
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -14,6 +14,12 @@ def _digest(col):
     return F.sha2(col.cast("binary"), 256)
 
 
+def op1_secret_scan(spark, sf_dir):
+    r = secret_scan.digest(_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_assign", "n_access", "n_hex", _digest(F.col("base_spans")).alias("base_sha256"), "spans",
+                    "n_live", "n_copied")
+
+
 def op2_token_shards(spark, sf_dir):
     r = token_shards.encode_documents(_table(spark, sf_dir, "documents"))
     return r.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -38,4 +44,4 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_shards, op4_decontaminate, op5_simhash, op8_temperature_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op8_temperature_mixing, op10_quality_rules)}

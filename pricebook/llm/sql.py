@@ -2,6 +2,7 @@
 
 from pricebook.llm import mixing as m
 from pricebook.llm import quality_rules as q
+from pricebook.llm import secret_scan as ss
 
 ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,6 +72,41 @@ from c left join cut on c.lang is not distinct from cut.lang
 """
 
 
+def _places(kind, pattern):
+    """Matches with their places in DuckDB: the pieces between matches give the starts."""
+    p = pattern.replace("'", "''")
+    return f"""(select rid, unnest(generate_series(1, len(m))) i, m, s, '{kind}' kind, {ss.KINDS.index(kind)} ko from (
+      select rid, regexp_extract_all(t, '{p}') m, string_split_regex(t, '{p}') s from d))"""
+
+
+OP1 = f"""
+with d as materialized (select row_number() over () rid, doc_id, source, coalesce(text, '') t from documents),
+f as materialized (
+  select rid, kind, ko, m[i] v, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) st
+  from ({' union all '.join('select * from ' + _places(k, p) for k, p in zip(ss.KINDS, (ss.ASSIGN, ss.ACCESS, ss.HEX, ss.MIXED)))})),
+c0 as materialized (
+  select rid, kind, ko, cast(st as bigint) st, cast(st + length(v) as bigint) en,
+    case when kind = 'assign' then regexp_extract(v, '{ss.ASSIGN.replace("'", "''")}', 2) else v end v from f),
+c1 as materialized (
+  select *, len(list_distinct(string_split(v, ''))) >= {ss.LEAST_CHARACTERS} and regexp_matches(v, '[0-9]') random
+  from c0 where kind <> 'assign' or length(v) >= 6),
+c as materialized (
+  select * from c1 where kind <> 'mixed' or random and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]')
+    and not exists (select 1 from c1 b where b.rid = c1.rid and b.kind <> 'mixed' and b.st < c1.en and c1.st < b.en)),
+o as (select v, count(distinct coalesce(source, '')) n from c join d using (rid) group by 1),
+j as materialized (
+  select c.*, case when n >= {ss.COPIED_OWNERS} then 'copied' when random then 'live' else 'plain' end verdict
+  from c join o using (v)),
+b as (select rid, string_agg(kind || ':' || st || ':' || en, ',' order by st, ko) x, count(*) filter (kind = 'assign') a,
+        count(*) filter (kind = 'access') k, count(*) filter (kind = 'hex') h from j where kind <> 'mixed' group by 1),
+a as (select rid, string_agg(kind || ':' || st || ':' || en, ',' order by st, ko) x, count(*) filter (verdict = 'live') l,
+        count(*) filter (verdict = 'copied') cp from j where kind <> 'mixed' or verdict = 'live' group by 1)
+select doc_id, coalesce(b.a, 0) n_assign, coalesce(b.k, 0) n_access, coalesce(b.h, 0) n_hex, sha256(coalesce(b.x, '')) base_sha256,
+  coalesce(a.x, '') spans, coalesce(a.l, 0) n_live, coalesce(a.cp, 0) n_copied
+from d left join b using (rid) left join a using (rid)
+"""
+
+
 OP8 = f"""
 with d0 as materialized (
   select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')) tokens,
@@ -92,4 +128,4 @@ select doc_id, source, cast(tokens as bigint) tokens, cast(block as bigint) bloc
 """
 
 
-ORACLE_SQL = {"op8_temperature_mixing": OP8, "op4_decontaminate": OP4, "op10_quality_rules": _op10()}
+ORACLE_SQL = {"op1_secret_scan": OP1, "op8_temperature_mixing": OP8, "op4_decontaminate": OP4, "op10_quality_rules": _op10()}
