@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, token_shards
+from pricebook.llm import decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, surrogates, token_shards
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -44,8 +44,13 @@ def op8_temperature_mixing(spark, sf_dir):
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
 
+def op9_surrogates(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, counts=True)
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op6_license_scan, op8_temperature_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op6_license_scan, op8_temperature_mixing, op9_surrogates, op10_quality_rules)}
