@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, surrogates, token_shards
+from pricebook.llm import cotraining, decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, surrogates, token_shards
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -40,6 +40,10 @@ def op6_license_scan(spark, sf_dir):
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_cotraining(spark, sf_dir):
+    return cotraining.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_temperature_mixing(spark, sf_dir):
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op6_license_scan, op8_temperature_mixing, op9_surrogates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op6_license_scan, op7_cotraining, op8_temperature_mixing, op9_surrogates, op10_quality_rules)}
