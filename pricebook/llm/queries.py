@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricebook.llm import cotraining, decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, surrogates, token_shards
+from pricebook.llm import cotraining, decontaminate, license_scan, line_dedup, mixing, quality_rules, secret_scan, simhash, surrogates, token_shards
 from pricebook.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -25,6 +25,10 @@ def op2_token_shards(spark, sf_dir):
     return r.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     r = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return r.select("doc_id", "n_words", "n_hit", "n_items",
@@ -57,4 +61,4 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op4_decontaminate, op5_simhash, op6_license_scan, op7_cotraining, op8_temperature_mixing, op9_surrogates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_shards, op3_line_dedup, op4_decontaminate, op5_simhash, op6_license_scan, op7_cotraining, op8_temperature_mixing, op9_surrogates, op10_quality_rules)}
