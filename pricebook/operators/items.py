@@ -15,7 +15,7 @@ from pricebook.functions.text import any_word, first_rule, rx
 from pricebook.operators.identify import SHEET
 from pricebook.operators.scale import key_text
 
-MAX_LEVEL = 10
+WINDOW_LEVELS = 10
 
 
 def by_row():
@@ -121,18 +121,26 @@ def section_level(df: DataFrame) -> DataFrame:
 
 
 def section_parents(sections: DataFrame) -> DataFrame:
-    """Row and number of the nearest earlier section of a smaller level (levels above 10 count as 10)."""
+    """Row and number of the nearest earlier section of a smaller level, at any level.
+
+    Levels up to ``WINDOW_LEVELS`` are carried in one window pass. Sections below them, rare by nature, also look
+    for the last earlier one among themselves.
+    """
     before = by_row().rowsBetween(Window.unboundedPreceding, -1)
-    lvl = F.least("niveau_hierarchique", F.lit(MAX_LEVEL))
-    s = sections.withColumn("_l", lvl)
-    here = F.struct("row", "numero_section")
-    cands = []
-    for k in range(1, MAX_LEVEL):
-        s = s.withColumn(f"_a{k}", F.last(F.when(F.col("_l") == k, here), ignorenulls=True).over(before))
-        cands.append(F.when(F.col("_l") > k, F.col(f"_a{k}")))
-    best = F.array_max(F.array_compact(F.array(*cands)))
-    return (s.withColumn("_p", best).withColumn("parent_row", F.col("_p.row")).withColumn("parent_numero", F.col("_p.numero_section"))
-            .drop("_p", "_l", *[f"_a{k}" for k in range(1, MAX_LEVEL)]))
+    lvl, here = F.col("niveau_hierarchique"), F.struct("row", "numero_section")
+    s, cands = sections, []
+    for k in range(1, WINDOW_LEVELS + 1):
+        s = s.withColumn(f"_a{k}", F.last(F.when(lvl == k, here), ignorenulls=True).over(before))
+        cands.append(F.when(lvl > k, F.col(f"_a{k}")))
+    s = s.withColumn("_near", F.array_max(F.array_compact(F.array(*cands)))).drop(*[f"_a{k}" for k in range(1, WINDOW_LEVELS + 1)])
+    deep = sections.filter(lvl > WINDOW_LEVELS).select(*SHEET, "row", "numero_section", "niveau_hierarchique")
+    up = deep.select(*SHEET, F.col("row").alias("_r"), F.col("niveau_hierarchique").alias("_l"), here.alias("_h"))
+    deep = (deep.join(up, SHEET).filter((F.col("_r") < F.col("row")) & (F.col("_l") < lvl))
+            .groupBy(*SHEET, "row").agg(F.max("_h").alias("_deep")))
+    best = F.greatest("_near", "_deep")                 # structs compare by row first
+    return (s.join(deep, [*SHEET, "row"], "left").withColumn("_p", best)
+            .withColumn("parent_row", F.col("_p.row")).withColumn("parent_numero", F.col("_p.numero_section"))
+            .drop("_p", "_near", "_deep"))
 
 
 # ---- elements -------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Entity resolution and the import job over many workbooks."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from pricebook.operators.scale import dense_ids, hash_id
 from pricebook.schema import ENTITIES, enforce_schema
 from pricebook.session import checkpoint_dir
 from pricebook.sources.files import base_name
+from pricebook.sources.reports import append_errors
 from pricebook.sources.workbooks import read_workbook_rows
 
 BUCKETS = 256
@@ -102,13 +104,21 @@ def extract_document(rows: DataFrame, files: DataFrame, profile="main"):
 def _table(spark, warehouse, name):
     """A stored entity, or an empty frame of its schema before the first import."""
     schema = ", ".join(f"{c} {t}" for c, t, _, _ in ENTITIES[name])
-    path = f"{warehouse}/{name}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.read.schema(schema).parquet(path)
+    if _exists(spark, f"{warehouse}/{name}"):
+        return spark.read.schema(schema).parquet(f"{warehouse}/{name}")
     return spark.createDataFrame([], schema)
 
 
+def _exists(spark, path):
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 def _stage(spark, df, base, name):
     """Write a step to the shared folder and go on from the files: short lineage, no recomputation."""
     path = f"{base}/{name}"
@@ -126,7 +136,13 @@ def import_documents(spark, path, warehouse, run_id, profile="main", on_existing
     base = f"{checkpoint_dir(spark)}/import-{run_id}"
     grid = _stage(spark, read_workbook_rows(spark, path), base, "grid")
     errors = grid.filter("error is not null").select("path", "error")
-    rows = grid.filter("error is null").select("file_id", "path", "sheet", "row", "cells")
+    append_errors(errors.select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("path").alias("filename"),
+        F.lit(0).alias("line_number"), F.split_part(F.col("error"), F.lit(":"), F.lit(1)).alias("error_type"),
+        F.col("error").alias("error_message"), F.lit("").alias("raw_data")), f"{warehouse}/errors")
+    # a workbook with a damaged part is not loaded at all
+    rows = (grid.filter("error is null").select("file_id", "path", "sheet", "row", "cells")
+            .join(errors.select("path").distinct(), "path", "left_anti"))
     files = rows.select("file_id", "path").distinct().withColumn("name", base_name())
     facts, items = extract_document(rows.drop("path"), files, profile)
     facts = _stage(spark, facts.withColumn("client", F.coalesce("client", F.concat(F.lit("Client du "), G.stem("name")))), base, "facts")
@@ -154,22 +170,32 @@ def import_documents(spark, path, warehouse, run_id, profile="main", on_existing
     append("sections", sections)
     el = placed.filter("type = 'element'").join(
         sections.select("id_lot", F.col("numero_section").alias("section_numero"), "id_section"), ["id_lot", "section_numero"], "left")
-    loaded = _stage(spark, load_elements(el.withColumn("id_element", hash_id("id_dpgf", "sheet", "row"))), base, "elements")
-    write_elements(spark, loaded, warehouse, base, on_existing)
+    loaded = _stage(spark, load_elements(el.withColumn("id_element", hash_id("file_id", "sheet", "row"))), base, "elements")
+    write_elements(spark, loaded, docs.select("id_dpgf").distinct(), warehouse, base, on_existing)
     return import_stats(rows, {"clients": clients, "dpgf": dpgf, "lots": lots, "sections": sections}, loaded, errors)
 
 
-def write_elements(spark, loaded, warehouse, base, on_existing="replace"):
-    """Add elements to the bucketed table; with ``replace`` the documents' old rows go first."""
-    path = f"{warehouse}/elements"
-    new = loaded.withColumn("bucket", F.pmod(F.xxhash64("id_dpgf"), F.lit(BUCKETS)).cast("int"))
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if on_existing == "append" or not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+def write_elements(spark, loaded, documents, warehouse, base, on_existing="replace"):
+    """Add elements to the bucketed table; with ``replace`` the old rows of all imported ``documents`` go first.
+
+    A bucket that loses its last element keeps one row without id, as Spark replaces only buckets it writes;
+    ``stored_elements`` leaves it out.
+    """
+    path, b = f"{warehouse}/elements", F.pmod(F.xxhash64("id_dpgf"), F.lit(BUCKETS)).cast("int")
+    new = loaded.withColumn("bucket", b)
+    if on_existing == "append" or not _exists(spark, path):
         new.repartition("bucket", F.pmod("id_element", F.lit(8))).write.mode("append").partitionBy("bucket").parquet(path)
         return
-    touched = new.select("bucket").distinct()
+    touched = documents.select(b.alias("bucket")).distinct()
     kept = (spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")      # at most BUCKETS rows
-            .join(new.select("id_dpgf").distinct(), "id_dpgf", "left_anti"))
+            .filter("id_element is not null").join(documents, "id_dpgf", "left_anti"))
     merged = _stage(spark, kept.unionByName(new), base, "elements_merged")
+    bare = touched.join(merged.select("bucket").distinct(), "bucket", "left_anti")
+    merged = merged.unionByName(bare, allowMissingColumns=True)
     (merged.repartition("bucket", F.pmod("id_element", F.lit(8))).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
+def stored_elements(spark, warehouse) -> DataFrame:
+    """The elements loaded so far."""
+    return spark.read.parquet(f"{warehouse}/elements").filter("id_element is not null")

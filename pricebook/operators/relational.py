@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebook.operators.scale import chunked_lists, dense_ids
+from pricebook.operators.scale import chunked_lists, staged, dense_ids
 
 
 def get_by_id(df: DataFrame, key: str, value) -> DataFrame:
@@ -80,50 +80,87 @@ def sections_with_element_count(sections, elements, lots=None, dpgf_id=None):
             .withColumn("elements_count", F.coalesce("elements_count", F.lit(0).cast("bigint"))))
 
 
-def _climb(sections, label, sep, max_depth):
-    """Join labels of all ancestors by pointer doubling: log2(depth) joins for all rows at once."""
-    cur = sections.select("id_section", F.col("section_parent_id").alias("up"), label.alias("path"),
-                          F.lit(1).alias("depth"))
-    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
-        above = cur.select(F.col("id_section").alias("up"), F.col("up").alias("up2"),
-                           F.col("path").alias("path2"), F.col("depth").alias("depth2"))
-        done, open_ = cur.filter("up is null"), cur.filter("up is not null")
-        open_ = open_.join(above, "up", "left").select(
-            "id_section",
-            F.when(F.col("path2").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"),
-            F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", F.lit(sep), "path")).alias("path"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
-        cur = done.unionByName(open_)
-    return cur
-
-
-def section_path(sections, max_depth=4):
-    """Path of titles from the root; ``complete`` is false below a missing parent, a cycle or max_depth."""
+PLAIN_ROUNDS = 6        # 64 levels; only then is it worth telling deep chains from cycles
+
+
+def _jump(cur, sep=None):
+    """One doubling: every open row follows its pointer to where that one points."""
+    more = [] if sep is None else ["path"]
+    above = cur.select(F.col("id_section").alias("up"), F.col("up").alias("up2"), F.col("lost").alias("lost2"),
+                       F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in more])
+    done, open_ = cur.filter("up is null or lost"), cur.filter("up is not null and not lost")
+    open_ = open_.join(above, "up", "left")
+    gone = F.col("lost2").isNull()                      # the parent does not exist
+    path = [F.when(gone, F.col("path")).otherwise(F.concat("path2", F.lit(sep), "path")).alias("path") for _ in more]
+    open_ = open_.select("id_section", F.when(gone, F.col("up")).otherwise(F.col("up2")).alias("up"), *path,
+                         (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+                         (gone | F.col("lost2")).alias("lost"))
+    return done.unionByName(open_)
+
+
+def _open(cur):
+    return not cur.filter("up is not null and not lost").isEmpty()
+
+
+def _in_cycles(sections):
+    """Sections that never reach a root or a lost parent: still open when pointers span all rows."""
+    cur = staged(sections.select("id_section", F.col("section_parent_id").alias("up"),
+                                 F.lit(1).cast("double").alias("depth"), F.lit(False).alias("lost")), "cycles")
+    for _ in range(math.ceil(math.log2(max(2, cur.count()))) + 1):
+        if not _open(cur):
+            break
+        cur = staged(_jump(cur), "cycles")
+    return cur.filter("up is not null and not lost").select("id_section")
+
+
+def _climb(sections, label, sep):
+    """Labels of all ancestors joined, by pointer doubling: log2(depth) joins for all rows at once, at any depth.
+
+    ``up`` is left null below a root; it names the missing parent where ``lost``. Sections in or below a cycle keep
+    their own label and are marked.
+    """
+    cur = staged(sections.select("id_section", F.col("section_parent_id").alias("up"), label.alias("path"),
+                                 F.lit(1).alias("depth"), F.lit(False).alias("lost")), "climb")
+    stuck, rounds = None, 0
+    while _open(cur):
+        if rounds == PLAIN_ROUNDS:
+            loops = staged(_in_cycles(sections), "loops")
+            stuck = sections.join(loops, "id_section", "left_semi").select(
+                "id_section", F.col("section_parent_id").alias("up"), label.alias("path"), F.lit(1).alias("depth"), F.lit(False).alias("lost"))
+            cur = cur.join(loops, "id_section", "left_anti")
+        cur = staged(_jump(cur, sep), "climb")
+        rounds += 1
+    cur = cur.withColumn("in_cycle", F.lit(False))
+    return cur if stuck is None else cur.unionByName(stuck.withColumn("in_cycle", F.lit(True)))
+
+
+def section_path(sections):
+    """Path of titles from the root; ``complete`` is false below a missing parent or a cycle."""
     label = F.when(F.coalesce("titre_section", F.lit("")) != "", F.col("titre_section")).otherwise(
         F.concat(F.lit("Section "), F.col("numero_section")))
-    return _climb(sections, label, " → ", max_depth).select(
+    return _climb(sections, label, " → ").select(
         "id_section", F.col("path").alias("chemin"), F.col("up").isNull().alias("complete"))
 
 
-def lookup_paths(ids, sections, max_depth=4):
+def lookup_paths(ids, sections):
     """Paths for a list of section ids, with the fixed text for unknown ones."""
-    return (ids.join(section_path(sections, max_depth), "id_section", "left")
+    return (ids.join(section_path(sections), "id_section", "left")
             .withColumn("chemin", F.coalesce("chemin", F.lit("Section inconnue"))))
 
 
-def section_tree(sections, lots, dpgf_id=None, max_depth=4):
-    """Flat tree: depth, sort path and number of children; nodes with a lost parent are kept and marked."""
+def section_tree(sections, lots, dpgf_id=None):
+    """Flat tree: depth, sort path and number of children; lost parents and cycles are kept and marked."""
     s = sections.join(lots.select("id_lot", "id_dpgf", "numero_lot"), "id_lot")
     if dpgf_id is not None:
         s = s.filter(F.col("id_dpgf") == dpgf_id)
-    climbed = _climb(s, F.col("numero_section"), "/", max_depth).select("id_section", "up", "depth", "path")
+    climbed = _climb(s, F.col("numero_section"), "/").select("id_section", "lost", "in_cycle", "depth", "path")
     kids = (s.filter("section_parent_id is not null").groupBy(F.col("section_parent_id").alias("id_section"))
             .agg(F.count("*").alias("children")))
     return (s.join(climbed, "id_section").join(kids, "id_section", "left")
             .select("id_dpgf", "numero_lot", "id_lot", "id_section", "section_parent_id", "numero_section",
                     "titre_section", F.col("depth").cast("int").alias("depth"), F.col("path").alias("sort_path"),
                     F.coalesce("children", F.lit(0).cast("bigint")).alias("children"),
-                    F.col("up").isNotNull().alias("is_orphan")))
+                    F.col("lost").alias("is_orphan"), "in_cycle"))
 
 
 def dpgf_structure(dpgf, lots, sections, elements, dpgf_id=None, part_rows=10000):

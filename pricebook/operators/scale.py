@@ -1,11 +1,22 @@
 """Building blocks that keep ordered work distributed when one key is hot."""
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricebook.session import checkpoint_dir
+
 ID_BUCKETS = 1024
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and go on from its files: short lineage, nothing computed twice."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key_text(*cols):
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in cols])
 

@@ -98,6 +98,14 @@ def _views(d):
                cast(cents * 0.01 as decimal(18,2)) as prix_total_ht,
                l_linestatus = 'F' as offre_acceptee, cast(l_shipdate as timestamp) as created_at
         from lines"""
+    # chains of 16 sections; some start at a lost parent, some close to a cycle
+    v["deep_sections"] = """
+        select p_partkey as id_section, cast(1 as bigint) as id_lot,
+               case when p_partkey % 16 <> 0 then p_partkey - 1
+                    when p_partkey % 160 = 0 then -1 - p_partkey
+                    when p_partkey % 160 = 16 then p_partkey + 15 end as section_parent_id,
+               cast(p_partkey as string) as numero_section, p_brand as titre_section, 1 as niveau_hierarchique
+        from part"""
     v["elements_flat"] = """
         select e.id_element, e.id_lot, e.id_section, e.designation_exacte as designation, e.description,
                e.unite, e.quantite, e.prix_unitaire_ht as prix_unitaire, e.prix_total_ht as prix_total,

@@ -101,7 +101,7 @@ reg("g24_section_parents", lambda t: I.section_parents(_sections(t, "main")).sel
     "file_id", "sheet", "row", F.coalesce("parent_row", F.lit(-1)).alias("parent_row"), F.coalesce("parent_numero", F.lit("")).alias("parent_numero")),
     f"""with {HEAD}, {LINES}, {sections_sql('main')}, z as (select * from se where pattern is not null),
     p as (select a.file_id, a.sheet, a.row, max(b.row) as pr from z a left join z b on a.file_id = b.file_id and a.sheet = b.sheet and b.row < a.row
-      and least(b.niveau_hierarchique, 10) < least(a.niveau_hierarchique, 10) group by all)
+      and b.niveau_hierarchique < a.niveau_hierarchique group by all)
     select p.file_id, p.sheet, p.row, coalesce(pr, -1) as parent_row, coalesce(z.numero_section, '') as parent_numero
     from p left join z on z.file_id = p.file_id and z.sheet = p.sheet and z.row = p.pr""", "rows")
 

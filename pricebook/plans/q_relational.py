@@ -116,6 +116,22 @@ PLANS["b13_section_path"] = (
     oracle("""with recursive tr as (select id_section, titre_section as chemin from sections where section_parent_id is null
         union all select s.id_section, chemin || ' → ' || titre_section from sections s join tr on s.section_parent_id = tr.id_section)
         select id_section, chemin, true as complete from tr""", "sections"))
+_DEEP = """with recursive t as (select s.*, s.section_parent_id is not null and p.id_section is null as lost
+          from deep_sections s left join (select id_section from deep_sections) p on p.id_section = s.section_parent_id),
+        tr as (select id_section, 1 as depth, numero_section as sort_path, titre_section as chemin, lost from t where section_parent_id is null or lost
+          union all select t.id_section, depth + 1, sort_path || '/' || numero_section, chemin || ' → ' || titre_section, tr.lost
+          from t join tr on t.section_parent_id = tr.id_section),
+        al as (select id_section, depth, sort_path, chemin, lost, false as in_cycle from tr
+          union all select id_section, 1, numero_section, titre_section, false, true from t where id_section not in (select id_section from tr))"""
+PLANS["b12_section_tree_deep"] = (
+    lambda t: R.section_tree(t.deep_sections, t.lots.limit(1).withColumn("id_lot", F.lit(1).cast("bigint"))).select(
+        "id_section", "depth", "sort_path", "children", "is_orphan", "in_cycle"),
+    oracle(f"""{_DEEP}, k as (select section_parent_id as p, count(*) as children from deep_sections group by 1)
+        select id_section, depth, sort_path, coalesce(children, 0) as children, lost as is_orphan, in_cycle
+        from al left join k on p = id_section""", "deep_sections"))
+PLANS["b13_section_path_deep"] = (
+    lambda t: R.section_path(t.deep_sections),
+    oracle(f"{_DEEP} select id_section, chemin, not lost and not in_cycle as complete from al", "deep_sections"))
 PLANS["b14_dpgf_structure"] = (
     lambda t: R.dpgf_structure(t.dpgf, t.lots, t.sections, t.elements).select(
         "id_dpgf", F.coalesce("numero_lot", F.lit("")).alias("numero_lot"),

@@ -11,13 +11,7 @@ MODULES = ("relational", "search", "stats", "quality", "scalars", "identify", "g
 def _load():
     plans = {}
     for m in MODULES:
-        try:
-            mod = importlib.import_module(f"pricebook.plans.q_{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"pricebook.plans.q_{m}":
-                raise
-            continue
-        plans.update(mod.PLANS)
+        plans.update(importlib.import_module(f"pricebook.plans.q_{m}").PLANS)
     return plans
 
 

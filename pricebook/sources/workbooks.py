@@ -67,8 +67,10 @@ def sheet_rows(content, max_rows=None):
                     if el.tag != NS + "row":
                         continue
                     row_no = int(el.get("r")) - 1 if el.get("r") else row_no + 1
-                    if row_no >= MAX_SHEET_ROWS or (max_rows is not None and row_no >= max_rows):
+                    if max_rows is not None and row_no >= max_rows:
                         break
+                    if row_no >= MAX_SHEET_ROWS:
+                        raise ValueError(f"sheet {s.get('name')} has more rows than the file format allows")
                     cells = []
                     for c in el.iter(NS + "c"):
                         at = _column(c.get("r")) if c.get("r") else len(cells)
@@ -99,20 +101,14 @@ def _decode(max_rows, batch_rows=5000):
     return run
 
 
-def read_workbook_rows(spark, path, max_rows=None, max_bytes=100 * 1024 * 1024) -> DataFrame:
+def read_workbook_rows(spark, path, max_rows=None) -> DataFrame:
     """All sheets of all workbooks below a folder, one row per sheet row; unreadable files keep an error.
 
-    A file above ``max_bytes`` (the listing limit) is reported, not decoded, so
-    the content held by one Python worker is bounded.
+    A workbook is the unit of one task; which sizes are wanted is a rule of the listing, not of the reader.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.{xlsx,xlsm,xls}").load(path))
-    small = files.filter(F.col("length") <= max_bytes).select("path", "content")
-    big = files.filter(F.col("length") > max_bytes).select(
-        "path", F.lit(None).cast("int").alias("sheet_no"), F.lit(None).cast("string").alias("sheet"),
-        F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"),
-        F.lit("file exceeds the size limit").alias("error"))
-    return small.mapInPandas(_decode(max_rows), ROW_SCHEMA).unionByName(big).withColumn("file_id", hash_id("path"))
+             .option("pathGlobFilter", "*.{xlsx,xlsm,xls}").load(path).select("path", "content"))
+    return files.mapInPandas(_decode(max_rows), ROW_SCHEMA).withColumn("file_id", hash_id("path"))
 
 
 def read_workbook_cells(spark, path, max_rows=None) -> DataFrame:

@@ -86,6 +86,48 @@ def test_import_job_is_idempotent(spark, tmp_path):
     assert {r["numero_section"] for r in spark.read.parquet(f"{wh}/sections").collect()} == {"1.1", "1.2"}
 
 
+def _import(spark, src, wh, run):
+    return {r["counter"]: r["n"] for r in L.import_documents(spark, str(src), str(wh), run, today="2025-07-01").collect()}
+
+
+def test_import_same_name_in_two_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for d in ("a", "b"):
+        corpus(tmp_path / "in" / d)
+    _import(spark, tmp_path / "in", tmp_path / "wh", "two")
+    ids = [r["id_element"] for r in L.stored_elements(spark, tmp_path / "wh").collect()]
+    assert len(ids) == 6 == len(set(ids))
+
+
+def test_import_skips_damaged_and_replaces_emptied_workbooks(spark, tmp_path):
+    src, wh = tmp_path / "in", tmp_path / "wh"
+    src.mkdir()
+    book = src / "DPGF Lot 06 - Métallerie.xlsx"
+    write_xlsx(book, {"Page de garde": {0: ["Client : Ville de Lyon"]}, "Lot 06": BODY})
+    assert _import(spark, src, wh, "one")["elements_created"] == 3
+    with zipfile.ZipFile(book) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    with zipfile.ZipFile(src / "DPGF Lot 07 - Coupe.xlsx", "w") as z:
+        for n, b in parts.items():
+            z.writestr(n, b[:len(b) // 2] if n.endswith("sheet2.xml") else b)
+    got = _import(spark, src, wh, "two")
+    assert got["errors"] == 1 and got["elements_created"] == 3 and L.stored_elements(spark, wh).count() == 3
+    logged = reports.read_errors(spark, f"{wh}/errors").collect()
+    assert len(logged) == 1 and logged[0]["filename"].endswith("Coupe.xlsx")
+    (src / "DPGF Lot 07 - Coupe.xlsx").unlink()
+    write_xlsx(book, {"Page de garde": {0: ["Client : Ville de Lyon"]}, "Lot 06": {k: v for k, v in BODY.items() if k < 3}})
+    _import(spark, src, wh, "three")
+    assert L.stored_elements(spark, wh).count() == 0
+
+
+def test_deep_trees_and_cycles(spark):
+    rows = [(i, i - 1 if i % 100 else None, str(i), f"T{i}") for i in range(200)] + [(500, 502, "a", "A"), (501, 500, "b", "B"), (502, 501, "c", "C"), (503, 501, "d", "D")]
+    s = spark.createDataFrame(rows, "id_section int, section_parent_id int, numero_section string, titre_section string")
+    p = {r["id_section"]: r for r in R.section_path(s).collect()}
+    assert all(p[i]["complete"] and p[i]["chemin"].count("→") == i % 100 for i in range(200)) and len(p) == 204
+    assert all(not p[i]["complete"] and "→" not in p[i]["chemin"] for i in range(500, 504))
+
+
 def test_listing(spark, tmp_path):
     src = corpus(tmp_path / "in")
     assert files.list_files(spark, src).count() == 3
@@ -185,10 +227,10 @@ def test_dense_ids_and_parts(spark):
 def test_tree_orphans_and_depth(spark):
     s = spark.createDataFrame([(1, None, "1", "A"), (2, 1, "2", ""), (3, 2, "3", "C"), (4, 99, "4", "D")],
                               "id_section int, section_parent_id int, numero_section string, titre_section string")
-    p = {r["id_section"]: (r["chemin"], r["complete"]) for r in R.section_path(s, 8).collect()}
+    p = {r["id_section"]: (r["chemin"], r["complete"]) for r in R.section_path(s).collect()}
     assert p == {1: ("A", True), 2: ("A → Section 2", True), 3: ("A → Section 2 → C", True), 4: ("D", False)}
     ids = spark.createDataFrame([(3,), (77,)], "id_section int")
-    assert {r["chemin"] for r in R.lookup_paths(ids, s, 8).collect()} == {"A → Section 2 → C", "Section inconnue"}
+    assert {r["chemin"] for r in R.lookup_paths(ids, s).collect()} == {"A → Section 2 → C", "Section inconnue"}
 
 
 def test_text_pairs_equal_brute_force(spark):
