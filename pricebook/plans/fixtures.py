@@ -243,7 +243,7 @@ def _closure(views, names, stop=()):
 
 def oracle(sql, *names):
     """DuckDB text: the named views as CTEs in front of ``sql``."""
-    ctes = ", ".join(f"{n} as ({_DUCK[n]})" for n in _closure(_DUCK, names))
+    ctes = ", ".join(f"{n} as materialized ({_DUCK[n]})" for n in _closure(_DUCK, names))
     sql = sql.strip()
     if not ctes:
         return sql
