@@ -69,8 +69,22 @@ def carry_last(df: DataFrame, keys, pos, carried, chunk_rows=65536) -> DataFrame
 
 
 def chunked_lists(df: DataFrame, keys, item, order, size=10000) -> DataFrame:
-    """Collect structs per key in parts of about ``size`` rows, so no row grows unbounded."""
-    n = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(size)).alias("_parts"))
-    return (df.join(n, list(keys))
-            .withColumn("part", F.pmod(F.xxhash64(order), F.col("_parts")).cast("int"))
-            .groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias("items")))
+    """Collect structs per key in reading order, in parts of at most ``size`` rows, so no row grows unbounded.
+
+    The rows are laid out in ranges of (key, order). Only the counts per key and range are chained; rows are numbered
+    inside their range, so a hot key is never one task.
+    """
+    laid = df.withColumn("_o", order).withColumn("_item", item).select(*keys, "_o", "_item")
+    laid = staged(laid.repartitionByRange(*keys, "_o").withColumn("_range", F.spark_partition_id()), "chunks")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (laid.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+              .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_o"))
+    part = F.floor((F.col("_before") + rank - 1) / size).cast("int")
+    return (laid.join(counts, same).withColumn("part", part).groupBy(*keys, "part")
+            .agg(F.sort_array(F.collect_list(F.struct("_o", "_item"))).alias("_l"))
+            .select(*keys, "part", F.transform("_l", lambda x: x["_item"]).alias("items")))

@@ -289,11 +289,7 @@ class Tables:
     def _stored(self, name):
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _written:
-            try:
-                folder = checkpoint_dir(self.spark)
-            except ValueError:                      # cluster without a shared folder: plain view
-                return self._view(name)
-            path = f"{folder}/canonical-{key[0]}-{zlib.crc32(self.dir.encode()):08x}/{name}"
+            path = f"{checkpoint_dir(self.spark)}/canonical-{key[0]}-{zlib.crc32(self.dir.encode()):08x}/{name}"
             self._view(name).write.mode("overwrite").parquet(path)
             _written[key] = path
         return self.spark.read.parquet(_written[key])

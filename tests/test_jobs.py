@@ -224,6 +224,15 @@ def test_dense_ids_and_parts(spark):
     assert sum(r["n"] for r in parts) == 5000 and len(parts) == 10
 
 
+def test_chunked_lists_keep_reading_order(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i % 3, i) for i in range(1000)], "g int, k int").repartition(7)
+    got = chunked_lists(df, ["g"], F.struct("k"), F.col("k"), 10).collect()
+    for g in (None, 0, 1, 2):
+        read = [x["k"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["part"]) for x in r["items"]]
+        assert read == [i for i in range(1000) if (None if i % 10 == 0 else i % 3) == g]
+    assert all(len(r["items"]) <= 10 for r in got)
+
+
 def test_tree_orphans_and_depth(spark):
     s = spark.createDataFrame([(1, None, "1", "A"), (2, 1, "2", ""), (3, 2, "3", "C"), (4, 99, "4", "D")],
                               "id_section int, section_parent_id int, numero_section string, titre_section string")
