@@ -1,9 +1,13 @@
-"""Registered queries: file listings (A3-A7)."""
+"""Registered queries: file listings (A3-A7), logs, reports and error tables as round trips (A8, A10, A11, A13, A15)."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
 from pricebook.plans.fixtures import oracle
+from pricebook.session import checkpoint_dir
 from pricebook.sources import files as S
+from pricebook.sources import reports as P
 
 PLANS = {}
 
@@ -36,3 +40,75 @@ reg("a07_folder_summary", lambda t: S.folder_summary(t.files), """
     k as (select *, row_number() over (partition by folder order by path, file_id) as rn from files where folder in (select folder from f))
     select folder, count(*) as sample_files, count(*) filter (where ends_with(lower(name), '.xlsx')) as excel_files, count(*) * 5 as estimated_files,
     (select count(distinct folder) from files) as total_folders from k where rn <= 10 group by 1""", "files")
+
+
+# ---- round trips: a view is written in the source's form, read back by the operator and compared with the view
+
+def _folder(t, name):
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _log_files(t):
+    path = _folder(t, "logs")
+    (t.log_lines.select("file", "line_no", F.col("text").alias("value")).repartition("file").sortWithinPartitions("file", "line_no")
+     .select("file", "value").write.partitionBy("file").text(path))
+    return P.read_log_lines(t.spark, path).select(F.regexp_extract("file", r"file=([^/]+)", 1).alias("file"), "line_no", "text")
+
+
+reg("a08_read_log_lines", _log_files, """
+    select file, row_number() over (partition by file order by line_no) - 1 as line_no, text from log_lines""", "log_lines")
+
+
+def _report_files(t):
+    path = _folder(t, "reports")
+    info = F.struct(F.col("import_status").alias("status"), *[F.col(f"{c}_imported").cast("bigint").alias(f"{c}_imported") for c in ("lots", "sections", "elements")])
+    one = F.struct("path", "name", "type", "confidence", info.alias("import_info"))
+    folders = (t.report_files.groupBy("report_file", "folder").agg(F.collect_list(one).alias("identified_files"), F.count("*").alias("excel_files"))
+               .select("report_file", F.struct(F.col("folder").alias("folder_path"), F.lit("ok").alias("status"), "excel_files", "identified_files").alias("d")))
+    (folders.groupBy("report_file").agg(F.collect_list("d").alias("detailed_results"))
+     .repartition("report_file").write.partitionBy("report_file").json(path))
+    return P.read_run_reports(t.spark, path).select(
+        F.regexp_extract(F.url_decode("report_file"), r"report_file=([^/]+)", 1).alias("report_file"), "folder", "status", "excel_files",
+        "path", "name", "type", "confidence", "import_status", "lots_imported", "sections_imported", "elements_imported")
+
+
+reg("a10_read_run_reports", _report_files, """
+    select report_file, folder, 'ok' as status, count(*) over (partition by report_file, folder) as excel_files, path, name, type, confidence,
+    import_status, lots_imported::bigint as lots_imported, sections_imported::bigint as sections_imported, elements_imported::bigint as elements_imported
+    from report_files""", "report_files")
+
+
+def _errors(t):
+    path = _folder(t, "errors")
+    bad = t.log_lines.filter("lower(text) rlike 'error|échec'").select(
+        F.lit("2024-01-01 10:00:00").alias("timestamp"), F.col("file").alias("filename"), F.col("line_no").cast("int").alias("line_number"),
+        F.lit("LogError").alias("error_type"), F.concat(F.lit('"'), "text", F.lit('", suite')).alias("error_message"), F.col("text").alias("raw_data"))
+    P.append_errors(bad.filter("line_number % 2 = 0"), path)
+    P.append_errors(bad.filter("line_number % 2 = 1"), path)
+    return P.read_errors(t.spark, path)
+
+
+reg("a11_errors_round_trip", _errors, """
+    select '2024-01-01 10:00:00' as timestamp, file as filename, line_no::int as line_number, 'LogError' as error_type,
+    '"' || text || '", suite' as error_message, text as raw_data from log_lines where regexp_matches(lower(text), 'error|échec')""", "log_lines")
+
+
+def _identification(t):
+    path = _folder(t, "identified")
+    P.write_identification_report(t.report_files.select("name", F.col("type").alias("doc_type"), "confidence", "path", "seq"), path, by_type=True)
+    return t.spark.read.option("header", "true").option("sep", ";").schema("name string, doc_type string, confidence double, path string, seq bigint").csv(path)
+
+
+reg("a13_identification_report", _identification,
+    "select name, type as doc_type, confidence, path, seq from report_files", "report_files")
+
+
+def _problems(t):
+    path = _folder(t, "problems")
+    P.write_problem_report(t.report_files.filter("import_status <> 'success'").select(
+        F.col("path").alias("file"), F.col("import_status").alias("problem_type"), F.concat("name", F.lit(" : "), F.col("seq").cast("string")).alias("description")), path)
+    return t.spark.read.option("header", "true").csv(path)
+
+
+reg("a15_problem_report", _problems, """
+    select path as file, import_status as problem_type, name || ' : ' || seq as description from report_files where import_status <> 'success'""", "report_files")
