@@ -91,9 +91,14 @@ def query_terms(text):
     return [w for w in words if len(w) > 1 and w not in STOP_WORDS]
 
 
-def has(col, term):
+CI_AI = "UNICODE_CI_AI"
+
+
+def has(col, term, collation=None):
+    """Substring test ignoring case; under ``CI_AI`` accents are ignored too."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.lower(c).contains(term), F.lit(False))
+    found = F.lower(c).contains(term) if collation is None else F.collate(c, collation).contains(F.lit(term))
+    return F.coalesce(found, F.lit(False))
 
 
 def trigrams(col):

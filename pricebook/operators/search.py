@@ -36,25 +36,25 @@ def apply_filters(df: DataFrame, client_id=None, dpgf_id=None, lot_id=None, lot_
     return df
 
 
-def text_condition(terms):
+def text_condition(terms, collation=None):
     """Every term must match: long ones anywhere, two-letter ones as a spaced word outside titles."""
     conds = []
     for t in terms:
         if len(t) >= 3:
-            conds.append(_any([has(c, t) for c, _ in WEIGHTS]))
+            conds.append(_any([has(c, t, collation) for c, _ in WEIGHTS]))
         else:
-            conds.append(_any([has(c, f" {t} ") for c, _ in WEIGHTS[:2]]))
+            conds.append(_any([has(c, f" {t} ", collation) for c, _ in WEIGHTS[:2]]))
     return functools.reduce(operator.and_, conds) if conds else F.lit(True)
 
 
-def relevance(terms):
+def relevance(terms, collation=None):
     """10 / 5 / 3 points per long term found in designation / description / section title."""
-    parts = [F.when(has(c, t), w).otherwise(0) for t in terms if len(t) >= 3 for c, w in WEIGHTS]
+    parts = [F.when(has(c, t, collation), w).otherwise(0) for t in terms if len(t) >= 3 for c, w in WEIGHTS]
     return _sum(parts) if parts else F.lit(0)
 
 
-def designation_hits(terms):
-    parts = [F.when(has("designation", t), 1).otherwise(0) for t in terms]
+def designation_hits(terms, collation=None):
+    parts = [F.when(has("designation", t, collation), 1).otherwise(0) for t in terms]
     return _sum(parts) if parts else F.lit(0)
 
 
@@ -75,40 +75,45 @@ def apply_sort(df: DataFrame, sort_by="relevance", descending=True) -> DataFrame
     return df.orderBy(*keys, F.asc("id_element"))
 
 
-def search_matches(flat, query=None, **filters):
-    """All matching rows with their score."""
+def search_matches(flat, query=None, collation=None, **filters):
+    """All matching rows with their score; ``collation`` decides whether accents count."""
     terms = query_terms(query) if query else []
     df = apply_filters(flat, **filters)
     if terms:
-        df = df.filter(text_condition(terms))
+        df = df.filter(text_condition(terms, collation))
         long_terms = [t for t in terms if len(t) >= 3]
-        df = df.withColumn("relevance_score", relevance(terms) if long_terms else designation_hits(terms))
+        df = df.withColumn("relevance_score", relevance(terms, collation) if long_terms else designation_hits(terms, collation))
     return df
 
 
-def search_elements(flat, query=None, sort_by="relevance", descending=True, skip=0, limit=50, **filters):
+def search_elements(flat, query=None, sort_by="relevance", descending=True, skip=0, limit=50, collation=None, **filters):
     """One page of the multi-criteria search and the total, as two frames of the same plan."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
-    found = search_matches(flat, query, **filters)
+    found = search_matches(flat, query, collation, **filters)
     return (apply_sort(found, sort_by, descending).offset(skip).limit(limit),
             found.agg(F.count("*").alias("total")))
 
 
-def suggest(flat, sections_lots, q, limit=10, client_id=None, dpgf_id=None, lot_id=None):
-    """Completions: designations, then elements found by description, then section titles."""
+def suggest(flat, sections_lots, q, limit=10, client_id=None, dpgf_id=None, lot_id=None, collation=None):
+    """Completions: designations, then elements found by description, then section titles.
+
+    A query of fewer than two characters gives nothing.
+    """
     q = q.lower().strip()
+    if len(q) < 2:
+        flat, sections_lots = flat.filter("false"), sections_lots.filter("false")
     df = apply_filters(flat, client_id=client_id, dpgf_id=dpgf_id, lot_id=lot_id)
     text = F.col("designation").alias("text")
-    one = (df.filter(has("designation", q)).groupBy(text)
+    one = (df.filter(has("designation", q, collation)).groupBy(text)
            .agg(F.min("id_element").alias("id"))
            .select(F.lit(1).alias("stage"), "text", "id", F.length("text").alias("len"), F.lit("designation").alias("type")))
-    two = (df.filter(has("description", q) & ~has("designation", q)).groupBy(text)
+    two = (df.filter(has("description", q, collation) & ~has("designation", q, collation)).groupBy(text)
            .agg(F.min("id_element").alias("id"), F.min(F.length("description")).alias("len"))
            .select(F.lit(2).alias("stage"), "text", "id", "len", F.lit("description").alias("type")))
     out = one.unionByName(two)
     if lot_id is None:
-        s = apply_filters(sections_lots, client_id=client_id, dpgf_id=dpgf_id).filter(has("titre_section", q))
+        s = apply_filters(sections_lots, client_id=client_id, dpgf_id=dpgf_id).filter(has("titre_section", q, collation))
         out = out.unionByName(s.select(
             F.lit(3).alias("stage"),
             F.concat(F.lit("Section "), F.col("numero_section"), F.lit(": "), F.col("titre_section")).alias("text"),

@@ -90,6 +90,27 @@ PLANS["c07_search_elements"] = (
     oracle(f"""select id_element, designation, prix_unitaire::double as prix_unitaire, {rel_sql(['red', 'widget'])} as relevance_score,
         nom_client, nom_projet from elements_flat where {any_sql('red')} and {any_sql('widget')} and prix_unitaire between 1000 and 2000
         order by relevance_score desc, designation, id_element limit 100""", "elements_flat"))
+def accented(t):
+    """The flat view with accents in its designations."""
+    return flat(t).withColumn("designation", F.translate("designation", "eo", "éö"))
+
+
+_PLAIN = "strip_accents(lower(translate(designation, 'eo', 'éö')))"
+PLANS["c07_search_elements_ci_ai"] = (
+    lambda t: S.search_elements(accented(t), "RÉD widget", limit=100, collation=T.CI_AI)[0].select("id_element", "designation", "relevance_score"),
+    oracle(f"""select id_element, translate(designation, 'eo', 'éö') as designation, {rel_sql(['red', 'widget'])} as relevance_score
+        from elements_flat where {any_sql('red')} and {any_sql('widget')}
+        order by relevance_score desc, translate(designation, 'eo', 'éö'), id_element limit 100""".replace("lower(designation)", _PLAIN), "elements_flat"))
+PLANS["c08_suggest_ci_ai"] = (
+    lambda t: S.suggest(accented(t), t.sections.join(t.lots, "id_lot").join(t.dpgf, "id_dpgf"), "ÈD", 200, collation=T.CI_AI).drop("len"),
+    oracle(f"""with a as (select 1 as stage, translate(designation, 'eo', 'éö') as text, min(id_element) as id, length(designation) as len, 'designation' as type
+          from elements_flat where contains({_PLAIN}, 'ed') group by designation),
+        b as (select 2, translate(designation, 'eo', 'éö'), min(id_element), min(length(description)), 'description' from elements_flat
+          where contains(lower(description), 'ed') and not contains({_PLAIN}, 'ed') group by designation),
+        c as (select 3, 'Section ' || numero_section || ': ' || titre_section, id_section, 0, 'section' from sections s
+          join lots l on s.id_lot = l.id_lot where contains(lower(titre_section), 'ed'))
+        select stage, text, id, type from (select * from a union all select * from b union all select * from c)
+        order by stage, len, text, id limit 200""", "elements_flat", "sections", "lots"))
 PLANS["c07_search_total"] = (
     lambda t: S.search_elements(flat(t), "red widget", min_price=1000, max_price=2000)[1],
     oracle(f"select count(*) as total from elements_flat where {any_sql('red')} and {any_sql('widget')} and prix_unitaire between 1000 and 2000", "elements_flat"))
