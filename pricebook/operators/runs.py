@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricebook.functions.scalars import to_double
 from pricebook.functions.text import any_word, first_rule, rx
-from pricebook.operators.scale import carry_last
+from pricebook.operators.scale import carry_last, last_rows
 
 # Error families and their patterns.
 FAMILIES = {
@@ -367,8 +367,7 @@ def critical_errors(errors, marker="mapping_confidence", level="CRITICAL_ERROR")
 
 def recent_error_density(lines, last=100, limit=5, least=1000):
     """Errors in the last lines of long logs, and whether they are many."""
-    w = Window.partitionBy("file").orderBy(F.desc("line_no"))
-    tail = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= last)
+    tail = last_rows(lines, ["file"], [F.desc("line_no")], last, "_rn")
     long_logs = lines.groupBy("file").agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select("file")
     bad = F.col("text").contains("ERROR") | F.col("text").contains("ERREUR")
     return tail.join(long_logs, "file", "left_semi").groupBy("file").agg(F.count_if(bad).alias("errors")).withColumn("many", F.col("errors") > limit)

@@ -45,6 +45,15 @@ def dense_ids(df: DataFrame, keys, start: DataFrame, name="id", buckets=ID_BUCKE
             .drop("_b", "_off", "_rn", "max_id"))
 
 
+def last_rows(df: DataFrame, keys, order, n, rank, buckets=64) -> DataFrame:
+    """First ``n`` rows per key in ``order`` with their rank; each of a key's hash buckets is cut to ``n`` rows first."""
+    cols = df.columns
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))).filter(F.col("_rn") <= n)
+    return (df.drop("_b", "_rn").withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+            .filter(F.col(rank) <= n))
+
+
 def carry_last(df: DataFrame, keys, pos, carried, chunk_rows=65536) -> DataFrame:
     """Last non-null value at or before each row, per key in order of ``pos``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricebook.functions.text import rx
+from pricebook.operators.scale import last_rows
 
 # Metric patterns.
 PROCESSING = r"traitement.*terminé.*en.*?(\d+(?:\.\d+)?)\s*secondes?"
@@ -89,9 +90,8 @@ def threshold_alerts(metrics: DataFrame, bounds=BOUNDS) -> DataFrame:
 
 
 def metric_history(metrics: DataFrame, n=1000, order=("ts", "seq")) -> DataFrame:
-    """Last ``n`` values per metric; each task keeps at most ``n`` rows per metric before the shuffle."""
-    w = Window.partitionBy("name").orderBy(*[F.desc(c) for c in order])
-    return metrics.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    """Last ``n`` values per metric, for any ``n``; a metric is first cut to ``n`` rows in each of its hash buckets."""
+    return last_rows(metrics, ["name"], [F.desc(c) for c in order], n, "rank")
 
 
 class History(StatefulProcessor):
@@ -106,7 +106,7 @@ class History(StatefulProcessor):
         kept = list(self.values.get()) if self.values.exists() else []
         for pdf in rows:
             kept += [(t.to_pydatetime(), float(v)) for t, v in zip(pdf["ts"], pdf["value"])]
-        kept = sorted(kept)[-self.limit:]
+            kept = sorted(kept)[-self.limit:]
         self.values.put(kept)
         yield pd.DataFrame({"name": [key[0]], "kept": [len(kept)], "mean": [sum(v for _, v in kept) / len(kept)],
                             "last_value": [kept[-1][1]]})
@@ -115,10 +115,26 @@ class History(StatefulProcessor):
         pass
 
 
+def _cut(n):
+    """Per task, the last ``n`` values of each metric."""
+    def run(batches):
+        kept = None
+        for pdf in batches:
+            kept = pdf if kept is None else pd.concat([kept, pdf])
+            kept = kept.sort_values(["ts", "value"]).groupby("name", sort=False).tail(n)
+        if kept is not None:
+            yield kept
+    return run
+
+
 def metric_history_stream(metrics: DataFrame, n=1000) -> DataFrame:
-    """Bounded history per metric in stream state (needs the RocksDB state store provider)."""
+    """Bounded history per metric in stream state (needs the RocksDB state store provider).
+
+    Each task of a micro-batch passes on at most ``n`` values per metric, so a busy metric does not meet in one task.
+    """
     processor = type("BoundedHistory", (History,), {"limit": n})
-    return metrics.select("name", "ts", "value").groupBy("name").transformWithStateInPandas(
+    cut = metrics.select("name", "ts", "value").mapInPandas(_cut(n), "name string, ts timestamp, value double")
+    return cut.groupBy("name").transformWithStateInPandas(
         statefulProcessor=processor(), outputStructType="name string, kept int, mean double, last_value double",
         outputMode="Update", timeMode="None")
 
