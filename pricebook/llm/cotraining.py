@@ -73,17 +73,18 @@ def _pieces(batch, rows=1000):
 class Logistic:
     """Regularised logistic regression on standardised columns, by accelerated gradient steps."""
 
-    def __init__(self, x, y, weight=None, l2=1e-3, steps=200):
+    def __init__(self, x, y, l2=1e-3, steps=200):
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1), x.dtype)], 1)
-        q = np.ones(len(y)) / len(y) if weight is None else weight / weight.sum()
-        step = 1 / (0.25 * float(np.linalg.norm(z * np.sqrt(q)[:, None], 2) ** 2) + l2)
-        w = v = np.zeros(z.shape[1])
+        z, y = z.astype(np.float32), y.astype(np.float32)
+        q = np.float32(1 / len(y))
+        step = np.float32(1 / (0.25 * float(np.linalg.eigvalsh((z.T @ z * q).astype(float))[-1]) + l2))
+        w = v = np.zeros(z.shape[1], np.float32)
         for k in range(steps):
-            g = z.T @ (q * (1 / (1 + np.exp(-(z @ v))) - y)) + l2 * np.append(v[:-1], 0)
+            g = z.T @ (q * (1 / (1 + np.exp(-(z @ v))) - y)) + np.float32(l2) * np.append(v[:-1], np.float32(0))
             new = v - step * g
-            v, w = new + k / (k + 3) * (new - w), new
-        self.w = w
+            v, w = new + np.float32(k / (k + 3)) * (new - w), new
+        self.w = w.astype(float)
 
     def logit(self, x):
         return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
