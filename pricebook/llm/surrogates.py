@@ -185,12 +185,15 @@ def replacements(docs: DataFrame, key=KEY) -> DataFrame:
 def pseudonymise(docs: DataFrame, key=KEY, counts=False) -> DataFrame:
     """The documents with replaced texts; with ``counts`` also n_entities and one count per type."""
     made = stored(replacements(docs, key), "pii-made")
-    rows = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_t"), row_key("doc_id", "text").alias("k"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_t"))
+    some = F.coalesce(F.col("_t").rlike(ANY), F.lit(False))
     pieces, m = mentions(F.col("_t"))
-    rows = rows.join(made, "k", "left").select("_doc", "_t", "made", F.when(F.col("made").isNotNull(), pieces).alias("p"),
-                                               F.when(F.col("made").isNotNull(), m).alias("m"))
+    # texts without a mention pass by the join where they lie
+    touched = rows.where(some).select("_doc", "_t", row_key("_doc.doc_id", "_t").alias("k")).join(made, "k")
+    touched = touched.select("_doc", "_t", "made", pieces.alias("p"), m.alias("m"))
     given = F.transform("m", lambda x: F.element_at("made", x))
-    rows = rows.select("_doc", "_t", "p", given.alias("g"))
+    touched = touched.select("_doc", "_t", "p", given.alias("g"))
+    rows = touched.unionByName(rows.where(~some), allowMissingColumns=True)
     joined = F.array_join(F.zip_with("p", "g", lambda p, g: F.concat(p, F.coalesce(g["r"], F.lit("")))), "")
     text = F.when(F.col("g").isNull(), F.col("_t")).otherwise(joined)
     out = [text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns]
