@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from pricebook.operators import grid as G
+from pricebook.operators import identify as I
 from pricebook.operators import items as T
+from pricebook.operators.load import layout
 from pricebook.operators.scale import dense_ids
 
 DEFAULT = "00"
@@ -87,12 +89,12 @@ def correction_log(before, after, moved, key="id_dpgf"):
 
 
 def redetect(issues, files, rows):
-    """Lots and sections found again in the source rows of the flagged files only."""
+    """Lots and sections found again in the flagged files only: the sheet and the columns that an import takes."""
     flagged = issues.select("file_id").distinct()
     f, r = files.join(flagged, "file_id", "left_semi"), rows.join(flagged, "file_id", "left_semi")
-    lots = G.detect_lot(f, r).select("file_id", "numero_lot", "nom_lot")
-    mapping = G.infer_positions(G.map_columns(G.find_header_row(r)))
-    items = T.parse_items(r, mapping)
+    body = r.join(I.best_sheet(r).select("file_id", "sheet"), I.SHEET, "left_semi")
+    lots = G.detect_lot(f, body).select("file_id", "numero_lot", "nom_lot")
+    items = T.parse_items(body, layout(body))
     sections = items.filter("type = 'section'").select(
         "file_id", "sheet", "row", F.col("section_numero").alias("numero_section"),
         F.col("section_titre").alias("titre_section"), F.col("section_niveau").alias("niveau_hierarchique"))

@@ -365,8 +365,8 @@ def text_blocks(rows: DataFrame, size=20) -> DataFrame:
 
 
 def apply_label_cache(blocks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Blocks with their cached label; ``hit`` tells which still need labelling."""
-    c = cache.select("fingerprint", "label", F.lit(True).alias("_h"))
+    """Blocks with their cached label (the least of several); ``hit`` tells which still need labelling."""
+    c = cache.groupBy("fingerprint").agg(F.min("label").alias("label")).withColumn("_h", F.lit(True))
     return blocks.join(c, "fingerprint", "left").withColumn("hit", F.coalesce("_h", F.lit(False))).drop("_h")
 
 

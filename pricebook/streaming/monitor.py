@@ -74,11 +74,18 @@ def error_alerts(lines: DataFrame, examples=5) -> DataFrame:
         "occurrences", "matches", F.col("file").alias("source_file"), "ts")
 
 
-def error_alerts_stream(lines: DataFrame, window="5 minutes", delay="10 minutes") -> DataFrame:
-    """The same by event-time window: occurrences and the first matching line."""
-    return (alert_hits(lines.withWatermark("ts", delay)).groupBy(F.window("ts", window), "error_type")
-            .agg(F.sum("n").alias("occurrences"), F.min_by("text", F.struct("file", "line_no")).alias("example"))
-            .select("window.start", "window.end", "error_type", "occurrences", "example"))
+def error_alerts_stream(lines: DataFrame, window="5 minutes", delay="10 minutes", examples=5) -> DataFrame:
+    """The same by event-time window: occurrences per log and family, with up to ``examples`` matching lines.
+
+    State stays bounded: of each class of line numbers modulo ``examples`` only the first match is kept.
+    """
+    def first(i):
+        mine = F.col("line_no") % examples == i
+        return F.min_by(F.when(mine, F.col("text")), F.when(mine, F.col("line_no")))
+    return (alert_hits(lines.withWatermark("ts", delay)).groupBy(F.window("ts", window), "file", "error_type")
+            .agg(F.sum("n").alias("occurrences"), *[first(i).alias(f"_e{i}") for i in range(examples)])
+            .select("window.start", "window.end", "error_type", "occurrences",
+                    F.array_compact(F.array(*[F.col(f"_e{i}") for i in range(examples)])).alias("matches"), F.col("file").alias("source_file")))
 
 
 def threshold_alerts(metrics: DataFrame, bounds=BOUNDS) -> DataFrame:
@@ -186,9 +193,28 @@ def health(summary: DataFrame, alerts: DataFrame) -> DataFrame:
     s = summary.agg(F.max(F.when(F.col("name") == "processing_time", F.col("recent_average"))).alias("time"),
                     F.max(F.when(F.col("name") == "success_rate", F.col("recent_average"))).alias("rate"))
     j = errors.crossJoin(F.broadcast(s))      # two single aggregate rows
+    return j.select("errors", *_score())
+
+
+def _score():
     slow, low = F.coalesce(F.col("time") > 300, F.lit(False)), F.coalesce(F.col("rate") < 0.8, F.lit(False))
     score = 100 - 10 * F.col("errors") - F.when(slow, 20).otherwise(0) - F.when(low, 30).otherwise(0)
-    return j.select("errors", score.alias("score"), F.when(score >= 80, "healthy").when(score >= 60, "warning").otherwise("critical").alias("status"))
+    return score.alias("score"), F.when(score >= 80, "healthy").when(score >= 60, "warning").otherwise("critical").alias("status")
+
+
+def health_stream(metrics: DataFrame, window="1 hour", delay="10 minutes", bounds=BOUNDS) -> DataFrame:
+    """Health per event-time window: means and threshold errors of the window; ``health_alerts`` applies as it is."""
+    def count(name, op, bound):
+        beyond = F.col("value") > bound if op == ">" else F.col("value") < bound
+        return F.count_if((F.col("name") == name) & beyond)
+    errors = [count(n, op, b) for n, op, b, level, _ in bounds if level in ("error", "critical")]
+    g = metrics.withWatermark("ts", delay).groupBy(F.window("ts", window)).agg(
+        sum(errors[1:], errors[0]).alias("errors") if errors else F.lit(0).alias("errors"),
+        _mean(F.col("name") == "processing_time").alias("_time"), F.count_if(F.col("name") == "processing_time").alias("_nt"),
+        _mean(F.col("name") == "success_rate").alias("_rate"), F.count_if(F.col("name") == "success_rate").alias("_nr"))
+    g = g.select("window.start", "window.end", "errors", F.when(F.col("_nt") > 0, F.col("_time")).alias("time"),
+                 F.when(F.col("_nr") > 0, F.col("_rate")).alias("rate"))
+    return g.select("start", "end", "errors", *_score())
 
 
 def health_alerts(h: DataFrame) -> DataFrame:

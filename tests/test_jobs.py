@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from pricebook.operators import correct as C
+from pricebook.operators import items as T
 from pricebook.operators import load as L
 from pricebook.operators import relational as R
 from pricebook.operators import runs
@@ -120,6 +121,18 @@ def test_import_skips_damaged_and_replaces_emptied_workbooks(spark, tmp_path):
     assert L.stored_elements(spark, wh).count() == 0
 
 
+def test_redetect_without_header_and_repeated_labels(spark):
+    rows = spark.createDataFrame([(1, "Lot 06", i, c) for i, c in enumerate(
+        [["1.1 Escaliers", "", "", "", ""], ["fourniture escalier acier", "u", "2", "100", "200"], ["garde-corps inox", "ml", "3", "10,50", "31,50"],
+         ["1.2 Portes", "", "", "", ""], ["porte acier", "ens", "1", "50", "50"]] * 3)], "file_id bigint, sheet string, row int, cells array<string>")
+    files_ = spark.createDataFrame([(1, "DPGF Lot 06 - Métallerie.xlsx"), (2, "x.xlsx")], "file_id bigint, name string").withColumn("path", F.concat(F.lit("/a/"), "name"))
+    lots, sections = C.redetect(files_.select("file_id").limit(1), files_, rows)
+    assert {r["numero_section"] for r in sections.collect()} == {"1.1", "1.2"} and lots.first()["numero_lot"] == "06"
+    cache = spark.createDataFrame([("f", "b"), ("f", "a")], "fingerprint string, label string")
+    hit = T.apply_label_cache(spark.createDataFrame([(1, "f"), (2, "g")], "block int, fingerprint string"), cache).collect()
+    assert sorted((r["block"], r["label"], r["hit"]) for r in hit) == [(1, "a", True), (2, None, False)]
+
+
 def test_deep_trees_and_cycles(spark):
     rows = [(i, i - 1 if i % 100 else None, str(i), f"T{i}") for i in range(200)] + [(500, 502, "a", "A"), (501, 500, "b", "B"), (502, 501, "c", "C"), (503, 501, "d", "D")]
     s = spark.createDataFrame(rows, "id_section int, section_parent_id int, numero_section string, titre_section string")
@@ -287,6 +300,13 @@ def test_stream_equals_batch(spark, t, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.threshold_alerts(batch).collect()))
     w = run(M.error_alerts_stream(s), "families", "complete", tmp_path / "c2")
     want = M.alert_hits(lines).groupBy("error_type").agg(F.sum("n").alias("n"))
+    plain = M.error_alerts_stream(lines)
+    assert sorted(map(str, w.collect())) == sorted(map(str, plain.collect()))
+    assert all(1 <= len(r["matches"]) <= 5 and r["source_file"] for r in w.collect())
+    metrics = M.extract_metrics(lines)
+    hs = run(M.health_stream(M.extract_metrics(s)), "health", "complete", tmp_path / "c4")
+    assert sorted(map(str, hs.collect())) == sorted(map(str, M.health_stream(metrics).collect())) and hs.count() > 0
+    assert M.health_alerts(hs).count() == hs.filter("status <> 'healthy'").count()
     assert {r["error_type"]: r["n"] for r in w.groupBy("error_type").agg(F.sum("occurrences").alias("n")).collect()} == {
         r["error_type"]: r["n"] for r in want.collect()}
     ms = run(M.metric_summary_stream(stream_of(spark, t.metrics.select("name", "value", "ts"), tmp_path / "m"), "1 hour", "1 hour"),
