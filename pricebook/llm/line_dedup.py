@@ -98,8 +98,9 @@ def matched(docs: DataFrame, named: DataFrame) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
     c = lambda s: F.col(s)
     need = F.ceil((c("x.n") + c("y.n")) * 4 / 9)
-    earlier = F.struct("y.none", "y.doc_id", "y.pos", "y.id") < F.struct("x.none", "x.doc_id", "x.pos", "x.id")
-    pairs = x.join(y, (c("x.t") == c("y.t")) & ~c("x.done") & (c("x.id") != c("y.id")) & _may(c("x.n"), c("y.n"), c("x.bits"), c("y.bits"))
+    # the conditions name the columns of both sides alike, so that one exchange of the prefix rows serves both
+    earlier = F.struct("y.none", "y.doc_id", "y.pos", "y.id", "y.done") < F.struct("x.none", "x.doc_id", "x.pos", "x.id", "x.done")
+    pairs = x.join(y, (c("x.t") == c("y.t")) & ~(c("x.done") & (c("y.n") > 0)) & (c("x.id") != c("y.id")) & _may(c("x.n"), c("y.n"), c("x.bits"), c("y.bits"))
                    & (1 + F.least(c("x.n") - c("x.i") - 1, c("y.n") - c("y.i") - 1) >= need) & earlier)
     second = verified(docs, pairs.select(c("x.id").alias("x"), c("y.id").alias("y")), named)
     return first.union(second)
