@@ -2,8 +2,8 @@
 
 Candidates are found in every text: the values of assignments, access keys, long hexadecimal runs, and other mixed
 runs of 20 characters or more. Their hashes are counted over the corpus by distinct repositories and owners. A value
-that ``COPIED_OWNERS`` or more owners hold is a copied example; one that stays with fewer and looks random (enough
-different characters, a digit among them) is live-looking. Spans of the first three kinds are always reported; mixed
+that ``COPIED_OWNERS`` or more owners hold, or ``copied_repos`` or more repositories where that is given, is a copied
+example; one that stays with fewer and looks random (enough different characters, a digit among them) is live-looking. Spans of the first three kinds are always reported; mixed
 runs only where they are live-looking and touch none of those.
 
 DataFrame functions only. Texts are read once and never shuffled: per document only its candidates are stored.
@@ -78,22 +78,24 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, repo="doc_id", owner="source", copied=COPIED_OWNERS, found=None) -> DataFrame:
+def scan(docs: DataFrame, repo="doc_id", owner="source", copied=COPIED_OWNERS, found=None, copied_repos=None) -> DataFrame:
     """A row per span: rid, doc_id, kind, start, end, hash, n_repos, n_owners, verdict (copied, live, plain)."""
     found = candidates(docs, repo, owner) if found is None else found
     each = found.select("rid", "doc_id", F.explode(F.concat("base", "mixed")).alias("c")).select("rid", "doc_id", "c.*")
-    verdict = F.when(F.col("n_owners") >= copied, "copied").when(F.col("random"), "live").otherwise("plain")
+    many = F.col("n_owners") >= copied
+    many = many if copied_repos is None else many | (F.col("n_repos") >= copied_repos)
+    verdict = F.when(many, "copied").when(F.col("random"), "live").otherwise("plain")
     out = each.join(ownership(found), "hash").withColumn("verdict", verdict)
     out = out.where((F.col("kind") != "mixed") | (F.col("verdict") == "live"))
     return out.select("rid", "doc_id", "kind", "ko", "start", "end", "hash", "n_repos", "n_owners", "verdict")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, copied_repos=None) -> DataFrame:
     """Per document row: doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_copied."""
     found = candidates(docs)
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     span = F.struct("start", "ko", "end", "kind")
-    per = (scan(docs, found=found).groupBy("rid").agg(
+    per = (scan(docs, found=found, copied_repos=copied_repos).groupBy("rid").agg(
         F.sort_array(F.collect_list(span)).alias("s"),
         F.sum((F.col("verdict") == "live").cast("long")).alias("n_live"),
         F.sum((F.col("verdict") == "copied").cast("long")).alias("n_copied")))

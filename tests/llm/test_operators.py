@@ -95,6 +95,14 @@ def test_secret_ownership(spark):
     assert got == {(i, 8, 5, "copied") for i in range(8)} | {(i, 4, 1, "live") for i in range(8, 12)}
 
 
+def test_secret_in_many_repositories_of_one_owner(spark):
+    value = 'token = "a1b2c3d4e5f6" Zx9Kq2Lm8Pv4Rt6Yw1Bn'
+    d = spark.createDataFrame([(i, value if i < 9 else 'token = "q9w8e7r6t5y4"', "en", "o1", 0) for i in range(12)], SCHEMA)
+    got = {(r.doc_id, r.kind, r.n_repos, r.n_owners, r.verdict) for r in secret_scan.scan(d, copied_repos=5).collect()}
+    assert got == {(i, "assign", 9, 1, "copied") for i in range(9)} | {(i, "assign", 3, 1, "live") for i in range(9, 12)}
+    assert [(r.doc_id, r.n_live, r.n_copied) for r in secret_scan.digest(d, copied_repos=5).orderBy("doc_id").collect()] == [(i, int(i > 8), int(i < 9)) for i in range(12)]
+
+
 def test_token_shards(docs, empty, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
