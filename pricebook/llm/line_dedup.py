@@ -8,13 +8,15 @@ line with an earlier line (by doc_id, line number) that is similar to it is remo
 
 Equal sets are one class, named by its first line; only classes are joined. A class needs one earlier match, not all:
 first each class is compared with the first class that shares a pair of its rarest tokens, which settles groups of
-near copies in linear work; the join then looks for matches of the classes left.
+near copies in linear work; the join then looks for matches of the classes left. Sets of up to ``EQUAL_ONLY`` words
+reach 4/5 with equal sets alone, so their class settles them and they take no part in the joins.
 
 DataFrame functions only. Words are hashed once; the classes carry their prefix, and words are read again only for
 candidates. The key set of those documents is counted: up to ``BROADCAST_KEYS`` rows it is broadcast, beyond that the
 same join is shuffled.
 
-Defined cases: lines of fewer than ``LEAST`` words are left alone; null and empty texts have no such line; null
+Defined cases: lines of fewer than ``least`` words (``LEAST`` if not given, 1 in the query: every line with a word) are
+left alone, lines without a word always; null and empty texts have no line; null
 doc_ids come last; rows with equal doc_id and text are one document and all get its result; an empty table has no
 rows; other columns pass through ``dedup_lines`` untouched.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pricebook.llm.common import SPACE, computed, row_key, space_words, stored
 
-LEAST, BUCKETS, BROADCAST_KEYS = 5, 65_536, 500_000
+LEAST, EQUAL_ONLY, BUCKETS, BROADCAST_KEYS = 5, 3, 65_536, 500_000
 
 
 def rarity(docs: DataFrame) -> list:
@@ -40,13 +42,13 @@ def _words(line):
     return F.array_distinct(F.array_remove(F.split(line, SPACE), ""))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A stored row per line of LEAST words or more: place, class key, size, parity bits and prefix tokens."""
+def lines(docs: DataFrame, least=LEAST) -> DataFrame:
+    """A stored row per line of ``least`` words or more: place, class key, size, parity bits and prefix tokens."""
     rank = F.from_json(F.lit(json.dumps(rarity(docs))), "array<tinyint>")
     d = docs.select(row_key("doc_id", "text").alias("k"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     d = d.select("k", "doc_id", F.posexplode_outer("l").alias("pos", "line"))
     d = d.select("k", "doc_id", "pos", F.transform(F.array_remove(F.split("line", SPACE), ""), lambda x: F.xxhash64(x)).alias("h"))
-    d = computed(d, "h").where(F.size("h") >= LEAST)
+    d = computed(d, "h").where(F.size("h") >= max(least, 1))
     # rarity in the highest bits, 57 bits of the hash below: one sort of longs gives the order
     key = lambda h: F.shiftleft(F.get(rank, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     d = d.select("k", "doc_id", "pos", F.sort_array(F.array_distinct(F.transform("h", key))).alias("o"))
@@ -87,6 +89,7 @@ def verified(docs: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
 
 def matched(docs: DataFrame, named: DataFrame) -> DataFrame:
     """Ids of the classes whose first line has an earlier similar line."""
+    named = named.where(F.col("n") > EQUAL_ONLY)
     # the first class for each pair of rare tokens
     two = [F.when(F.size("pre") > 2 * j + 1, F.xxhash64(F.get("pre", F.lit(2 * j)), F.get("pre", F.lit(2 * j + 1)))) for j in range(2)]
     short = named.select("id", "at", "n", "bits", F.explode(F.array_compact(F.array(*two))).alias("t"))
@@ -106,9 +109,9 @@ def matched(docs: DataFrame, named: DataFrame) -> DataFrame:
     return first.union(second)
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, least=LEAST) -> DataFrame:
     """(k, cut): the numbers of the removed lines of each document that has any."""
-    found = lines(docs)
+    found = lines(docs, least)
     named = classes(found)
     hit = matched(docs, named)
     fate = named.select("c", F.col("at").alias("first"), "id").join(hit.withColumn("hit", F.lit(True)), "id", "left").select("c", "first", "hit")
@@ -116,19 +119,19 @@ def removed(docs: DataFrame) -> DataFrame:
     return gone.groupBy(F.col("at.k").alias("k")).agg(F.sort_array(F.collect_set("at.pos")).alias("cut"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least=LEAST) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.size(F.split("text", "\n")).alias("n"))
-    out = rows.join(removed(docs), "k", "left")
+    out = rows.join(removed(docs, least), "k", "left")
     return out.select("doc_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
                       F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce(F.array_join(F.col("cut").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least=LEAST) -> DataFrame:
     """The documents without the removed lines."""
     rows = docs.select(F.struct("*").alias("_doc"), row_key("doc_id", "text").alias("k"))
-    out = rows.join(removed(docs), "k", "left")
+    out = rows.join(removed(docs, least), "k", "left")
     left = F.filter(F.split(F.col("_doc.text"), "\n"), lambda x, i: ~F.array_contains("cut", i))
     text = F.when(F.col("cut").isNull(), F.col("_doc.text")).otherwise(F.array_join(left, "\n"))
     return out.select(*[text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ def op2_token_shards(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.report(_table(spark, sf_dir, "documents"))
+    return line_dedup.report(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_decontaminate(spark, sf_dir):

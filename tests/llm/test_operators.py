@@ -155,6 +155,19 @@ def test_line_dedup(spark, rows, docs, empty):
     assert line_dedup.report(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    r = random.Random(8)
+    texts = ["\n".join(" ".join(f"w{r.randint(0, 5)}" for _ in range(r.randint(0, 6))) for _ in range(8)) + "\nRead more" for _ in range(40)]
+    texts += ["a b c d", "a b c d e", "e f g h i", "i h g f", "x x x x x", "x"]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    want = {k: ",".join(map(str, v)) for k, v in plain.removed_lines(by_text(d), least=1).items()}
+    assert [want[i] for i in range(40, 46)] == ["", "0", "", "0", "", "0"] and want[1].endswith("8")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.removed for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(d, least=1).collect()}
+    assert kept[43] == "" and not kept[1].endswith("Read more")
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch, rows):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     d = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)], SCHEMA)
