@@ -4,10 +4,15 @@ E-mail addresses, phone numbers, payment cards, IPv4 addresses, IBANs, social se
 detected in whole texts. The canonical form of an entity (lower case, without punctuation where that is only layout)
 gets one surrogate in the whole corpus, so all mentions stay coreferent; the surrogate is then written in the layout
 and case of each mention. Surrogates are drawn from a keyed SHA-512: digits replace digits and letters letters; valid
-card numbers stay valid; names keep gender (from the title), script and initial capital, and a first name is
-replaced like the last. IPv4 addresses stay in range.
+card numbers stay valid; names keep gender (from the title), script (Latin, Cyrillic, Greek, Armenian; others get
+Latin letters) and initial capital. IPv4 addresses stay in range.
 
-Collision checks: no two entities of a type share a surrogate, and no surrogate is an entity of the corpus. The losers
+A given name with its gender is an entity of its own. Where a document has a titled name, the same words without a
+title are replaced too: by the person whose given and last name stand there, else by the first titled name of the
+document with that word. Runs of such words count as one name.
+
+Collision checks: no two entities of a type share a surrogate, and no surrogate is an entity of the corpus (for names,
+neither a given nor a last name of it). The losers
 of a round draw again; each round works on the entities still open, read from the shared folder.
 
 DataFrame functions only. What is shuffled are mentions and the texts that have any; other texts are not moved.
@@ -41,10 +46,15 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
     "name": r"(?<!\p{L})(?:" + _TITLES + r") " + _NAME + "(?: " + _NAME + "){0,2}",
 }
+NAMES = ("name", "given")
+# a capitalised word that is no part of a longer one
+WORD = r"(?<![\p{L}\p{N}_])" + _NAME + r"(?![\p{L}\p{N}_])"
 ANY = "|".join(PATTERNS.values())
 TYPES = tuple(PATTERNS)
 # fixed values: syllables of made-up names, per script
 LATIN = ("ba", "den", "fi", "gor", "hal", "ke", "lin", "mar", "no", "per", "ras", "sol", "tam", "ver", "wil", "zan")
+GREEK = ("βα", "δεν", "φι", "γορ", "χαλ", "κε", "λιν", "μαρ", "νο", "περ", "ρας", "σολ", "ταμ", "βερ", "πιλ", "ζαν")
+ARMENIAN = ("բա", "դեն", "ֆի", "գոր", "հալ", "կե", "լին", "մար", "նո", "պեր", "րաս", "սոլ", "տամ", "վեր", "վիլ", "զան")
 CYRILLIC = ("ба", "ден", "фи", "гор", "хал", "ке", "лин", "мар", "но", "пер", "рас", "сол", "там", "вер", "вил", "зан")
 
 
@@ -110,6 +120,8 @@ def _name(canon, stream, female, extra):
         part = lambda i: F.element_at(t, _byte(stream, F.lit(i)) % 16 + 1)
         return F.concat(part(0), part(1), part(2), F.when(extra > 3, F.concat(part(3), part(4), part(5))).otherwise(""))
     return (F.when(canon.rlike(r"\p{IsCyrillic}"), F.concat(word(CYRILLIC), F.when(female, "ова").otherwise("ов")))
+            .when(canon.rlike(r"\p{IsGreek}"), F.concat(word(GREEK), F.when(female, "α").otherwise("ος")))
+            .when(canon.rlike(r"\p{IsArmenian}"), F.concat(word(ARMENIAN), F.when(female, "ուհի").otherwise("յան")))
             .otherwise(F.concat(word(LATIN), F.when(female, "a").otherwise("o"))))
 
 
@@ -128,7 +140,7 @@ def _draw(kind, canon, attempt, key):
     email = F.concat(_shape(F.get(at, F.lit(0)), stream), tail, F.lit("@"), new_host)
     name = _name(canon, stream, canon.startswith("f|"), attempt)
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(digits, F.lit(3), F.length(digits)))
-    return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets).when(kind == "name", name)
+    return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets).when(kind.isin(*NAMES), name)
             .when(kind == "iban", iban).otherwise(digits))
 
 
@@ -136,7 +148,9 @@ def surrogates(entities: DataFrame, key=KEY, rounds=200) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): all surrogates differ, none is an entity."""
     entities = stored(entities.select("kind", "canon").distinct(), "pii-entities")
     done, left = None, entities.select("kind", "canon", F.lit(0).alias("attempt"))
-    taken = entities.select("kind", F.when(F.col("kind") == "name", F.substring("canon", 3, 1000)).otherwise(F.col("canon")).alias("surrogate")).distinct()
+    named = F.col("kind").isin(*NAMES)
+    taken = entities.select(F.explode(F.when(named, F.array(*map(F.lit, NAMES))).otherwise(F.array("kind"))).alias("kind"),
+                            F.when(named, F.substring("canon", 3, 1000)).otherwise(F.col("canon")).alias("surrogate")).distinct()
     for _ in range(rounds):
         drawn = left.select("kind", "canon", "attempt", _draw(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate"))
         drawn = stored(drawn, "pii-drawn")
@@ -153,8 +167,8 @@ def surrogates(entities: DataFrame, key=KEY, rounds=200) -> DataFrame:
     raise ValueError(f"no free surrogate after {rounds} draws")
 
 
-def _write(kind, m, surrogate, key):
-    """The surrogate in the layout and case of a mention."""
+def _write(kind, m, surrogate, given):
+    """The surrogate in the layout and case of a mention; given: the surrogates of its given names."""
     s = F.regexp_replace(surrogate, "[^0-9A-Za-z]", "")
     step = lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(
         (a["i"] + 1).alias("i"),
@@ -162,8 +176,7 @@ def _write(kind, m, surrogate, key):
     ).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out")))
     layout = F.aggregate(_chars(m), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), step, lambda a: a["out"])
     words = F.split(m, " ")
-    given = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))),
-                        lambda w: F.initcap(_name(w, _stream(key, F.lit("given"), F.lower(w)), _gender(m) == "f", F.lit(0))))
+    given = F.transform(F.coalesce(given, F.array().cast("array<string>")), F.initcap)
     name = F.array_join(F.concat(F.slice(words, 1, 1), given, F.array(F.initcap(surrogate))), " ")
     return F.when(kind == "name", name).when(kind.isin("email", "ip"), surrogate).otherwise(layout)
 
@@ -175,13 +188,65 @@ def replacements(docs: DataFrame, key=KEY) -> DataFrame:
     found = found.select("k", F.explode(F.array_distinct(m)).alias("m")).distinct()
     kind = _type(F.col("m"))
     found = stored(found.select("k", "m", kind.alias("kind"), _canon(kind, F.col("m")).alias("canon")), "pii-mentions")
-    known = surrogates(found, key)
-    texts = found.select("m", "kind", "canon").distinct().join(known, ["kind", "canon"])
-    texts = texts.select("m", "kind", _write(F.col("kind"), F.col("m"), F.col("surrogate"), key).alias("r"))
+    words = F.split("m", " ")
+    given = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    given = (found.where("kind = 'name'").select("m").distinct().select("m", F.posexplode(given).alias("i", "w"))
+             .select("m", "i", F.lit("given").alias("kind"), F.concat_ws("|", _gender(F.col("m")), F.lower("w")).alias("canon")))
+    known = surrogates(found.select("kind", "canon").union(given.select("kind", "canon")), key)
+    given = (given.join(known, ["kind", "canon"]).groupBy("m")
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("given")))
+    texts = found.select("m", "kind", "canon").distinct().join(known, ["kind", "canon"]).join(given, "m", "left")
+    texts = texts.select("m", "kind", _write(F.col("kind"), F.col("m"), F.col("surrogate"), F.col("given")).alias("r"))
     return (found.select("k", "m").join(texts, "m").groupBy("k")
             .agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "r")))).alias("made")))
 
 
+def _first(pairs):
+    """A map of (key, value) pairs in which the first of a key counts."""
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(pairs, lambda x: x["key"] == k), F.lit(0))["r"]))
+
+
+def _let(value, use):
+    """use(value), with the value evaluated once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _untitled(rows: DataFrame) -> DataFrame:
+    """p with the document's titled names replaced where they stand without a title; more: how many."""
+    names = F.transform(F.filter(F.arrays_zip("m", "g"), lambda x: x["g"]["kind"] == "name"),
+                        lambda x: F.struct(F.split(F.lower(x["m"]), " ").alias("m"), F.split(x["g"]["r"], " ").alias("r")))
+    pair = lambda key, r: F.struct(key.alias("key"), r.alias("r"))
+    body = lambda x: F.slice(x, 2, F.size(x))
+    last = lambda x: F.element_at(x, -1)
+
+    def maps(names):
+        # last names first: of a word that is a given name too, the last name counts
+        one = F.concat(F.transform(names, lambda x: pair(last(x["m"]), last(x["r"]))),
+                       F.flatten(F.transform(names, lambda x: F.zip_with(body(x["m"]), body(x["r"]), pair))))
+        two = F.flatten(F.transform(names, lambda x: F.zip_with(
+            F.zip_with(F.slice(x["m"], 1, F.size(x["m"]) - 1), body(x["m"]), lambda a, b: F.concat_ws(" ", a, b)), body(x["r"]), pair)))
+        return F.struct(_let(one, _first).alias("one"), _let(two, _first).alias("two"))
+
+    def piece(known, t):
+        def put(x):
+            w, before, joined = F.lower(x["w"]), F.lower(x["b"]), x["gap"] == " "
+            r = F.coalesce(F.when(joined, F.try_element_at(known["two"], F.concat_ws(" ", before, w))), F.try_element_at(known["one"], w))
+            again = joined & F.try_element_at(known["one"], before).isNotNull()
+            return F.struct(F.concat(x["gap"], F.coalesce(r, x["w"], F.lit(""))).alias("t"), (r.isNotNull() & ~again).cast("int").alias("n"))
+
+        return _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda found: F.transform(
+            F.zip_with(F.zip_with(F.split(t, WORD, -1), found, lambda gap, w: F.struct(gap.alias("gap"), w.alias("w"))),
+                       F.concat(F.array(F.lit("")), found), lambda x, b: F.struct(x["gap"].alias("gap"), x["w"].alias("w"), b.alias("b"))), put))
+
+    done = lambda known: _let(F.transform("p", lambda t: piece(known, t)), lambda q: F.struct(
+        F.transform(q, lambda x: F.array_join(F.transform(x, lambda y: y["t"]), "")).alias("p"),
+        F.aggregate(F.flatten(q), F.lit(0), lambda a, x: a + x["n"]).alias("n")))
+    as_is = F.struct(F.col("p"), F.lit(0).alias("n"))
+    q = _let(names, lambda x: F.when(F.size(x) > 0, _let(maps(x), done)).otherwise(as_is))
+    return rows.select("_doc", "_t", "g", F.explode(F.array(q)).alias("q")).select("_doc", "_t", "g", F.col("q.p").alias("p"), F.col("q.n").alias("more"))
+
+
 def pseudonymise(docs: DataFrame, key=KEY, counts=False) -> DataFrame:
     """The documents with replaced texts; with ``counts`` also n_entities and one count per type."""
     made = stored(replacements(docs, key), "pii-made")
@@ -192,7 +257,7 @@ def pseudonymise(docs: DataFrame, key=KEY, counts=False) -> DataFrame:
     touched = rows.where(some).select("_doc", "_t", row_key("_doc.doc_id", "_t").alias("k")).join(made, "k")
     touched = touched.select("_doc", "_t", "made", pieces.alias("p"), m.alias("m"))
     given = F.transform("m", lambda x: F.element_at("made", x))
-    touched = touched.select("_doc", "_t", "p", given.alias("g"))
+    touched = _untitled(touched.select("_doc", "_t", "p", "m", given.alias("g")))
     rows = touched.unionByName(rows.where(~some), allowMissingColumns=True)
     joined = F.array_join(F.zip_with("p", "g", lambda p, g: F.concat(p, F.coalesce(g["r"], F.lit("")))), "")
     text = F.when(F.col("g").isNull(), F.col("_t")).otherwise(joined)
@@ -200,6 +265,7 @@ def pseudonymise(docs: DataFrame, key=KEY, counts=False) -> DataFrame:
     if counts:
         def n(kind=None):
             of_kind = F.filter("g", lambda g: F.lit(True) if kind is None else g["kind"] == kind)
-            return F.greatest(F.size(of_kind), F.lit(0)).cast("long")
+            more = F.coalesce("more", F.lit(0)) if kind in (None, "name") else F.lit(0)
+            return (F.greatest(F.size(of_kind), F.lit(0)) + more).cast("long")
         out += [n().alias("n_entities")] + [n(t).alias(f"n_{t}") for t in TYPES]
     return rows.select(*out)

@@ -340,6 +340,28 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == len(rows) == len(new) and not new & old
 
 
+def test_surrogates_of_given_names(spark):
+    """A hundred given names under one surname: as many surrogates, none a name of the corpus; Greek stays Greek."""
+    given = [f"{a}{b}{c}" for a in ("Ba", "Den", "Fi", "Gor") for b in ("ba", "den", "fi", "gor", "hal") for c in ("bao", "keo", "lino", "noo", "perao")]
+    rows = [(i, f"Mr. {g} Smith met Mrs. {g} Smith.") for i, g in enumerate(given)] + [(1000, "Κυρία; Mr. Γιώργος Παππάς.")]
+    out = {r.doc_id: r.text for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = [re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\.", out[i]) for i in range(len(given))]
+    assert len({m[1] for m in got} | {m[3] for m in got}) == 2 * len(given) and not {x for m in got for x in m.groups()} & {*given, "Smith"}
+    assert len({m[2] for m in got}) == len({m[4] for m in got}) == 1
+    assert re.fullmatch(r"Κυρία; Mr\. [Α-ω]+ [Α-ω]+\.", out[1000]) and "Παππάς" not in out[1000]
+    made = surrogates.surrogates(spark.createDataFrame([("given", f"m|{g.lower()}") for g in given] + [("name", "f|dendena")], "kind string, canon string")).collect()
+    assert len({(r.kind, r.surrogate) for r in made}) == len(given) + 1 and not {r.surrogate for r in made} & {g.lower() for g in given}
+
+
+def test_surrogates_of_untitled_names(spark):
+    rows = [(1, "Smith? Mr. John Smith, Mrs. Anna Smith and c@b.de. Later John Smith, SMITH's, Anna Smith, Anna; smith Smithers Smith-Jones"),
+            (2, "John Smith alone"), (3, "c@b.de and Smith")]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    m = re.fullmatch(r"(\w+)\? Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+) and \S+\. Later (\w+) (\w+), (\w+)'s, (\w+) (\w+), (\w+); smith Smithers Smith-Jones", got[1].text)
+    assert m and m[1] == m[3] == m[7] == m[8] != m[5] and m[2] == m[6] and m[4] == m[9] == m[11] and m[5] == m[10] and "Smith" not in m.groups()
+    assert got[1].n_name == 7 and got[1].n_entities == 8 and got[2].text == rows[1][1] and got[3].text.endswith(" and Smith") and got[3].n_name == 0
+
+
 def test_quality_counts(docs, empty, labels):
     got = quality_rules.judge(docs, labels).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got],
