@@ -42,8 +42,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n=N) -> DataFrame:
     seen = grams.groupBy("len").agg(F.count("*").alias("c")).collect()      # at most n rows
     lengths = sorted(r["len"] for r in seen)
     table = grams.select(F.col("h").alias("g_h"), F.col("words").alias("g_words"), F.col("len").alias("g_len"))
-    if sum(r["c"] for r in seen) <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
+    small = sum(r["c"] for r in seen) <= BROADCAST_WINDOWS
+    table = F.broadcast(table) if small else table
     d = docs.select("doc_id", row_key("doc_id", "text").alias("k"), alnum_words(F.col("text")).alias("w"))
     d = d.select("doc_id", "k", "w", F.size("w").alias("n_words"))
     d = d.select("*", F.explode_outer(F.sequence(F.lit(0), "n_words")).alias("pos"))
@@ -59,8 +59,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n=N) -> DataFrame:
         d = d.withColumn("li", F.lit(0)).withColumn("len", F.lit(lengths[0] if lengths else 0))
         d = d.where((F.col("pos") == 0) | (F.col("pos") + F.col("len") - 1 <= F.col("n_words")))
         d = d.withColumn("h", parts[0] if parts else F.lit(None).cast("long"))
+    own = F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " ")
+    if not small:
+        # a shuffled position carries its own words, not those of the whole document
+        d = d.withColumn("own", F.when(F.col("h").isNotNull(), own)).drop("w")
+        own = F.col("own")
     same = ((F.col("h") == F.col("g_h")) & (F.col("len") == F.col("g_len"))
-            & (F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " ") == F.col("g_words")))
+            & (own == F.col("g_words")))
     return (d.join(table, same, "left")
             .where((F.col("pos") == 0) & (F.col("li") == 0) | F.col("g_words").isNotNull())
             .select("k", "doc_id", "n_words", "pos", F.col("g_len").alias("len"), F.col("g_words").alias("words")))

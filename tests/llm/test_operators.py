@@ -174,6 +174,16 @@ def test_line_dedup_without_broadcast(spark, monkeypatch, rows):
     assert {r.doc_id: r.removed for r in line_dedup.report(d).collect()} == {k: ",".join(map(str, v)) for k, v in plain.removed_lines(by_text(d)).items()}
 
 
+def test_shuffled_positions_carry_their_own_words(docs, bench, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    plan = decontaminate.hits(docs, bench[1])._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    out = plan.children().apply(0).output()
+    names = [out.apply(i).name() for i in range(out.size())]
+    assert "own" in names and "w" not in names
+
+
 @pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 0])
 def test_decontaminate(docs, bench, empty, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
