@@ -128,4 +128,40 @@ select doc_id, source, cast(tokens as bigint) tokens, cast(block as bigint) bloc
 """
 
 
-ORACLE_SQL = {"op1_secret_scan": OP1, "op8_temperature_mixing": OP8, "op4_decontaminate": OP4, "op10_quality_rules": _op10()}
+OP12 = f"""
+with d as (select row_number() over () rid, doc_id, length(coalesce(text, '')) n, regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') b
+           from documents)
+select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by b) group_size, row_number() over w = 1 kept,
+  sha256(b) text_sha256
+from d window w as (partition by b order by n desc, doc_id nulls last, rid)
+"""
+
+# crc32 of a decimal number: the byte table from its polynomial, then one step per digit
+OP13 = """
+with tab as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+                         order by i) v from range(256) r(i)),
+t as (select conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) k,
+        strlen(coalesce(text, '')) b from conversations where conv_id is not null),
+c as materialized (select conv_id, list({'k': k, 'b': b} order by turn nulls first, k) seq from t group by 1),
+hashed as (select conv_id, seq, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''),
+             lambda x: cast(ord(x) as bigint))), lambda a, x: xor(a >> 8, v[(xor(a, x) & 255) + 1])), 4294967295) % 9 h from c, tab),
+r as materialized (select x.conv_id, list_concat(coalesce(y.seq[1:x.h], []), x.seq[x.h + 1:]) seq
+  from hashed x left join c y on y.conv_id = x.conv_id - x.conv_id % 5),
+p as materialized (select conv_id, len(seq) n, d, md5(array_to_string(list_transform(seq[1:d], lambda s: s.k), ',')) key,
+    case when d > 0 then md5(array_to_string(list_transform(seq[1:d - 1], lambda s: s.k), ',')) end up, coalesce(seq[d].b, 0) b
+  from (select conv_id, seq, unnest(generate_series(0, len(seq))) d from r)),
+nodes as materialized (select key, any_value(up) up, any_value(d) as depth, any_value(b) b, min(conv_id) conv_id, count(*) n_convs,
+    sha256(coalesce(string_agg(case when d = n then cast(conv_id as varchar) end, ',' order by conv_id), '')) ends_sha256
+  from p group by key),
+kids as (select up, count(*) n from nodes where up is not null group by 1),
+full_ as materialized (select nodes.*, coalesce(kids.n, 0) n_children from nodes left join kids on kids.up = nodes.key),
+above as (select distinct l.key as node, a.key as over_ from p l join p a on a.conv_id = l.conv_id and a.d <= l.d),
+sums as (select over_, sum(case when n_children = 0 then 1 else 0 end) n_leaves, sum((n_convs - 1) * b) saved_tokens
+  from above join full_ on full_.key = above.node group by 1)
+select f.conv_id, cast(f.depth as bigint) as depth, u.conv_id parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) n_leaves,
+  cast(saved_tokens as bigint) saved_tokens, f.ends_sha256
+from full_ f join sums on sums.over_ = f.key left join full_ u on u.key = f.up
+"""
+
+ORACLE_SQL = {"op1_secret_scan": OP1, "op8_temperature_mixing": OP8, "op4_decontaminate": OP4, "op10_quality_rules": _op10(),
+              "op12_exact_dedup": OP12, "op13_prefix_trie": OP13}

@@ -113,3 +113,91 @@ def quality(text):
             covered.update(j for i in at for j in range(i, i + 3))
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered),
             len(w) < 50 or 100 * len(covered) > 50 * len(w))
+
+
+def runs(words):
+    """All runs of a row of words: every stretch that keeps a period, unless a divisor of the period keeps it too."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q) and not any(q % p == 0 and s <= i and s + m >= j + q for s, m, p in out):
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(words):
+    found = runs(words)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2])) if found else (None, None, None)
+    return (len(found), *best, best[1] * 1000 // best[2] if found else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
+            sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def planted(doc_id, text):
+    words = SPACE.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return text
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(words[i] if i < a else words[a + (i - a) % p] for i in range(n))
+
+
+def bare(text):
+    return re.sub(r"[\x20\x09-\x0D]+", "", text or "")
+
+
+def copies(rows):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(bare(text), []).append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
+    out = []
+    for b, members in groups.items():
+        members.sort(key=lambda m: m[:3])
+        out += [(m[3], members[0][3], len(members), i == 0, sha(b)) for i, m in enumerate(members)]
+    return out
+
+
+def conversations(rows):
+    out = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            k = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            out.setdefault(c, []).append((turn is not None, turn or 0, k, role, text))
+    return {c: [t[3:] for t in sorted(ts, key=lambda t: t[:3])] for c, ts in out.items()}
+
+
+def rebuilt(convs):
+    out = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = convs.get(c - c % 5, [])[:h] + own[h:]
+    return out
+
+
+def trie(convs):
+    """Rows of all nodes: every prefix of every conversation."""
+    members, ends = {}, {}
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            members.setdefault(tuple(convs[c][:d]), []).append(c)
+        ends.setdefault(tuple(convs[c]), []).append(c)
+    kids = {}
+    for p in members:
+        if p:
+            kids.setdefault(p[:-1], []).append(p)
+    leaves, saved, rows = {}, {}, []
+    for p in sorted(members, key=len, reverse=True):
+        own = (len(members[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        leaves[p] = sum(leaves[x] for x in kids.get(p, [])) or 1
+        saved[p] = own + sum(saved[x] for x in kids.get(p, []))
+        rows.append((members[p][0], len(p), members[p[:-1]][0] if p else None, len(members[p]), len(kids.get(p, [])), leaves[p], saved[p],
+                     sha(",".join(map(str, ends.get(p, []))))))
+    return rows
