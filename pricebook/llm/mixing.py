@@ -21,7 +21,7 @@ columns pass through ``mix`` untouched.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebook.llm.common import space_words, stored
+from pricebook.llm.common import row_key, space_words, stored
 
 MAX_REPEATS, TRIES, ROUNDS, SEED = 2.0, 64, 5, 42
 CELLS = 3                   # leading hex digits of a hash that name its range: 4,096 ranges
@@ -70,8 +70,9 @@ def quotas(sources: DataFrame, max_repeats=MAX_REPEATS, entropy=None, budget=Non
 
 
 def _key():
-    """Content key of a document row."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]))
+    """Content key of a document row; null and empty, and values that only meet differently, have different keys."""
+    parts = [F.col(c).cast("string") for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat_ws("|", *[F.when(c.isNull(), "n").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in parts]))
 
 
 def _place(seed, block, k):
@@ -123,9 +124,27 @@ def _drawn(docs, tokens, max_repeats, entropy, budget, seed):
 
 
 def mix(docs: DataFrame, tokens=None, max_repeats=MAX_REPEATS, entropy=None, budget=None, seed=SEED) -> DataFrame:
-    """The drawn documents with all their columns, once per drawing."""
+    """The drawn documents with all their columns, once per drawing.
+
+    Rows of one id, source and text may differ in other columns: the drawings of their key are dealt to them in turn of a
+    hash of the whole row. Only rows repeated in every column are drawn from one of them.
+    """
     _, places = _drawn(docs, tokens, max_repeats, entropy, budget, seed)
-    drawn = places.groupBy(F.substring_index("k", ".", 1).alias("_k")).agg(F.count("*").alias("_n"))
-    # equal rows share a content key: the drawings of all of them are dealt to one copy
-    rows = docs.select(F.struct("*").alias("_doc"), _key().alias("_k")).dropDuplicates(["_k"])
-    return rows.join(drawn, "_k").select("_doc", F.explode(F.sequence(F.lit(1), "_n")).alias("_i")).select("_doc.*")
+    plain = [f.name for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    rows = docs.select(F.struct("*").alias("_doc"), _key().alias("_k"), row_key(*plain).alias("_v"))
+    kinds = rows.groupBy("_k", "_v").agg(F.count("*").alias("_m"))
+    earlier = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.select("_k", "_v", "_m", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_b"))
+    drawn = places.groupBy(F.substring_index("k", ".", 1).alias("_k"), F.substring_index("k", ".", -1).cast("long").alias("_i")).agg(F.count("*").alias("_n"))
+    mine = (F.col("_i") > F.col("_b")) & (F.col("_i") <= F.col("_b") + F.col("_m"))
+    draws = stored(kinds.join(drawn, "_k").where(mine).groupBy("_v", "_m").agg(F.sum("_n").alias("_n")), "mix-draws")
+
+    def dealt(some, many):
+        return (some.join(draws.where("_m > 1" if many else "_m = 1").select("_v", "_n"), "_v")
+                .select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).select("_doc.*"))
+
+    out = dealt(rows, False)
+    if draws.where("_m > 1").isEmpty():
+        return out
+    again = rows.join(draws.where("_m > 1").select("_v"), "_v", "left_semi").groupBy("_v").agg(F.first("_doc").alias("_doc"))
+    return out.union(dealt(again, True))

@@ -2,9 +2,9 @@
 
 Candidates are found in every text: the values of assignments, access keys, long hexadecimal runs, and other mixed
 runs of 20 characters or more. Their hashes are counted over the corpus by distinct repositories and owners. A value
-that ``COPIED_OWNERS`` or more owners hold, or ``copied_repos`` or more repositories where that is given, is a copied
-example; one that stays with fewer and looks random (enough different characters, a digit among them) is live-looking. Spans of the first three kinds are always reported; mixed
-runs only where they are live-looking and touch none of those.
+that ``COPIED_OWNERS`` or more owners or ``COPIED_REPOS`` or more repositories hold is a copied example; one that stays with
+fewer and looks random (enough different characters, a digit among them) is live-looking. Spans of the first three kinds
+are always reported; mixed runs only where they are live-looking and touch none of those.
 
 DataFrame functions only. Texts are read once and never shuffled: per document only its candidates are stored.
 Counts are taken in two steps (hash, owner, repository; then hash), so that a value in every document is summed in
@@ -27,8 +27,33 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIXED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
-COPIED_OWNERS = 3
+COPIED_OWNERS, COPIED_REPOS = 3, 10
 LEAST_CHARACTERS = 8
+SPAN = 512                  # lengths summed at once: lists are only appended to inside such a part
+
+
+def _let(value, use):
+    """use(value), with the value evaluated once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(lengths):
+    """Running sums of a list."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"] + n).alias("out"))
+    return F.aggregate(lengths, begin, add, lambda a: a["out"])
+
+
+def _ends(lengths):
+    """Running sums of a list of any size, in parts whose totals are summed first; linear in effect."""
+    firsts = lambda x: F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(SPAN))
+    parts = _let(lengths, lambda x: F.transform(firsts(x), lambda i: _sums(F.slice(x, i, SPAN))))
+
+    def shifted(parts):
+        totals = _sums(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
+        return F.flatten(F.zip_with(parts, totals, lambda p, end: F.transform(
+            p, lambda v: v + end - F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))))
+    return _let(parts, shifted)
 
 
 def _found(text, kind, pattern):
@@ -36,18 +61,11 @@ def _found(text, kind, pattern):
     pieces = F.split(text, pattern, -1)
     texts = F.expr("regexp_extract_all(_t, '%s', 0)" % pattern.replace("\\", "\\\\").replace("'", "\\'"))
     texts = F.when(F.size(pieces) > 1, texts).otherwise(F.array().cast("array<string>"))
-    empty = F.array().cast("array<struct<start:int,ko:int,end:int,kind:string,v:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def step(a, x):
-        start = a["at"] + F.length(x["piece"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ko"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("v"))
-        return F.struct(end.alias("at"), F.array_append(a["found"], one).alias("found"))
-
     pairs = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), texts,
-                       lambda p, m: F.struct(p.alias("piece"), m.alias("m")))
-    return F.aggregate(pairs, begin, step, lambda a: a["found"])
+                       lambda p, m: F.struct((F.length(p) + F.length(m)).alias("step"), F.length(m).alias("n"), m.alias("v")))
+    one = lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(KINDS.index(kind)).alias("ko"), end.alias("end"),
+                                  F.lit(kind).alias("kind"), x["v"].alias("v"))
+    return _let(pairs, lambda xs: F.zip_with(xs, _ends(F.transform(xs, lambda x: x["step"])), one))
 
 
 def candidates(docs: DataFrame, repo="doc_id", owner="source") -> DataFrame:
@@ -78,19 +96,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, repo="doc_id", owner="source", copied=COPIED_OWNERS, found=None, copied_repos=None) -> DataFrame:
+def scan(docs: DataFrame, repo="doc_id", owner="source", copied=COPIED_OWNERS, found=None, copied_repos=COPIED_REPOS) -> DataFrame:
     """A row per span: rid, doc_id, kind, start, end, hash, n_repos, n_owners, verdict (copied, live, plain)."""
     found = candidates(docs, repo, owner) if found is None else found
     each = found.select("rid", "doc_id", F.explode(F.concat("base", "mixed")).alias("c")).select("rid", "doc_id", "c.*")
-    many = F.col("n_owners") >= copied
-    many = many if copied_repos is None else many | (F.col("n_repos") >= copied_repos)
+    many = (F.col("n_owners") >= copied) | (F.col("n_repos") >= copied_repos)
     verdict = F.when(many, "copied").when(F.col("random"), "live").otherwise("plain")
     out = each.join(ownership(found), "hash").withColumn("verdict", verdict)
     out = out.where((F.col("kind") != "mixed") | (F.col("verdict") == "live"))
     return out.select("rid", "doc_id", "kind", "ko", "start", "end", "hash", "n_repos", "n_owners", "verdict")
 
 
-def digest(docs: DataFrame, copied_repos=None) -> DataFrame:
+def digest(docs: DataFrame, copied_repos=COPIED_REPOS) -> DataFrame:
     """Per document row: doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_copied."""
     found = candidates(docs)
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

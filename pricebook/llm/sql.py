@@ -93,9 +93,10 @@ c1 as materialized (
 c as materialized (
   select * from c1 where kind <> 'mixed' or random and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]')
     and not exists (select 1 from c1 b where b.rid = c1.rid and b.kind <> 'mixed' and b.st < c1.en and c1.st < b.en)),
-o as (select v, count(distinct coalesce(source, '')) n from c join d using (rid) group by 1),
+o as (select v, count(distinct coalesce(source, '')) n, count(distinct (coalesce(source, ''), coalesce(doc_id::varchar, ''))) r
+      from c join d using (rid) group by 1),
 j as materialized (
-  select c.*, case when n >= {ss.COPIED_OWNERS} then 'copied' when random then 'live' else 'plain' end verdict
+  select c.*, case when n >= {ss.COPIED_OWNERS} or r >= {ss.COPIED_REPOS} then 'copied' when random then 'live' else 'plain' end verdict
   from c join o using (v)),
 b as (select rid, string_agg(kind || ':' || st || ':' || en, ',' order by st, ko) x, count(*) filter (kind = 'assign') a,
         count(*) filter (kind = 'access') k, count(*) filter (kind = 'hex') h from j where kind <> 'mixed' group by 1),
@@ -110,7 +111,8 @@ from d left join b using (rid) left join a using (rid)
 OP8 = f"""
 with d0 as materialized (
   select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')) tokens,
-    md5(concat_ws('|', coalesce(cast(doc_id as varchar), ''), coalesce(source, ''), coalesce(text, ''))) k from documents),
+    md5(concat_ws('|', {', '.join(f"case when {c} is null then 'n' else length({c}::varchar) || ':' || {c}::varchar end" for c in ('doc_id', 'source', 'text'))})) k
+  from documents),
 d as materialized (select doc_id, source, tokens, k || '.' || row_number() over (partition by k) k from d0),
 s as materialized (select source, sum(tokens) t from d group by 1 having sum(tokens) > 0),
 x as materialized (

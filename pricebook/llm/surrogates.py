@@ -37,7 +37,8 @@ _TITLES = "|".join(t.replace(".", r"\.") for t in sorted(MALE + FEMALE, key=len,
 _NAME = r"\p{Lu}\p{L}*(?:['’-]\p{Lu}\p{L}*)?"
 # in order: at one place the first kind that fits counts
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # the possessive group is a loop for the engine, so a host may have any number of labels
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}"
              r"|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9A-Za-z])",
@@ -150,7 +151,7 @@ def surrogates(entities: DataFrame, key=KEY, rounds=200) -> DataFrame:
     done, left = None, entities.select("kind", "canon", F.lit(0).alias("attempt"))
     named = F.col("kind").isin(*NAMES)
     taken = entities.select(F.explode(F.when(named, F.array(*map(F.lit, NAMES))).otherwise(F.array("kind"))).alias("kind"),
-                            F.when(named, F.substring("canon", 3, 1000)).otherwise(F.col("canon")).alias("surrogate")).distinct()
+                            F.when(named, F.expr("substring(canon, 3)")).otherwise(F.col("canon")).alias("surrogate")).distinct()
     for _ in range(rounds):
         drawn = left.select("kind", "canon", "attempt", _draw(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate"))
         drawn = stored(drawn, "pii-drawn")
