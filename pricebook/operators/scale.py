@@ -10,9 +10,14 @@ from pricebook.session import checkpoint_dir
 ID_BUCKETS = 1024
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and go on from its files: short lineage, nothing computed twice."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

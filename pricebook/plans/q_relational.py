@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pricebook.operators import pages
 from pricebook.operators import relational as R
+from pricebook.operators.scale import scratch_path
 from pricebook.plans.fixtures import oracle
 
 PLANS = {}
@@ -50,6 +52,19 @@ PLANS["b01_get_by_id"] = (_by_id, oracle("""
 PLANS["b02_page"] = (
     lambda t: R.page(t.elements, ["id_element"], 200, 100).select(*E_COLS),
     oracle("select id_element, designation_exacte, unite from elements order by id_element limit 100 offset 200", "elements"))
+
+
+def _deep_page(t, skip, limit):
+    """Page of the price order from its stored index, far from the start."""
+    order = [F.desc("prix_unitaire_ht"), F.asc("id_element")]
+    path = scratch_path(t.spark, "order-index")
+    pages.write_order_index(t.elements, path, order)
+    return pages.page_at(t.spark, path, order, skip, limit).select("id_element", "designation_exacte", "unite")
+
+
+PLANS["b02_page_at"] = (
+    lambda t: _deep_page(t, 5000, 100),
+    oracle("select id_element, designation_exacte, unite from elements order by prix_unitaire_ht desc nulls last, id_element limit 100 offset 5000", "elements"))
 PLANS["b03_insert_rows"] = (
     lambda t: R.insert_rows(t.clients, t.supplier.select(F.col("s_name").alias("nom_client")), "id_client", ["nom_client"]),
     oracle(f"""select id_client, nom_client from clients union all

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pricebook.functions import text as T
 from pricebook.operators import relational as R
 from pricebook.operators import search as S
+from pricebook.operators import text_index as X
+from pricebook.operators.scale import scratch_path
 from pricebook.plans.fixtures import oracle
 from pricebook.plans.q_relational import dbl, flat
 
@@ -186,3 +188,27 @@ PLANS["c18_fuzzy_listing"] = (
     oracle(f"""with h as (select *, {sim_sql('designation', "'hot plates'")} as sim from elements_flat)
         select id_element, nom_projet, year(date_dpgf) as annee, sim * 100 as score from h where sim > 0.5 order by sim desc, id_element limit 200""",
            "elements_flat"))
+
+
+# ---- the same searches on the stored index --------------------------------------------------------------
+
+_built = {}
+
+
+def index(t):
+    """The index of the flat view, built once per application and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _built:
+        _built[key] = X.build(flat(t), scratch_path(t.spark, "index"))
+    return _built[key]
+
+
+PLANS["c07_search_elements_indexed"] = (
+    lambda t: dbl(X.search_elements(index(t), "red widget", limit=100, min_price=1000, max_price=2000)[0]
+                  .select("id_element", "designation", "prix_unitaire", "relevance_score", "nom_client", "nom_projet"), "prix_unitaire"),
+    PLANS["c07_search_elements"][1])
+PLANS["c10_match_text_indexed"] = (
+    lambda t: X.match_text(index(t), "Fourniture et pose de red ring, promo ou brand#7", 100).select("id_element", "match_confidence", "confidence_level"),
+    PLANS["c10_match_text"][1])
+PLANS["c13_search_similar_indexed"] = (
+    lambda t: X.search_similar(index(t), "red widgets", 0.5, 200).select("id_element", "similarity"), PLANS["c13_search_similar"][1])

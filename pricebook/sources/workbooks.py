@@ -106,9 +106,13 @@ def read_workbook_rows(spark, path, max_rows=None) -> DataFrame:
 
     A workbook is the unit of one task; which sizes are wanted is a rule of the listing, not of the reader.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.{xlsx,xlsm,xls}").load(path).select("path", "content"))
-    return files.mapInPandas(_decode(max_rows), ROW_SCHEMA).withColumn("file_id", hash_id("path"))
+    return decode_workbooks(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                            .option("pathGlobFilter", "*.{xlsx,xlsm,xls}").load(path), max_rows)
+
+
+def decode_workbooks(files: DataFrame, max_rows=None) -> DataFrame:
+    """The same for a table or stream of files (path, content)."""
+    return files.select("path", "content").mapInPandas(_decode(max_rows), ROW_SCHEMA).withColumn("file_id", hash_id("path"))
 
 
 def read_workbook_cells(spark, path, max_rows=None) -> DataFrame:

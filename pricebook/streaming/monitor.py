@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricebook.functions.text import rx
+from pricebook.operators import load as load_job
 from pricebook.operators.scale import last_rows
+from pricebook.sources import versions
+from pricebook.sources.workbooks import decode_workbooks
 
 # Metric patterns.
 PROCESSING = r"traitement.*terminé.*en.*?(\d+(?:\.\d+)?)\s*secondes?"
@@ -179,6 +182,23 @@ def watch_folder(spark, path, checkpoint, on_batch, **options):
     return (listing.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def import_new_files(spark, path, warehouse, checkpoint, stream="import", max_files_per_trigger=1000, on_existing="replace", today=None, **how):
+    """Import workbooks as they appear, each exactly once, until none is left.
+
+    The checkpoint gives a batch the same files and the same number again after a stop; the commit of an import carries
+    (stream, number), so a batch that was committed before the stop is passed over and one that was not is done anew.
+    ``stream`` names this query in the warehouse; use one name with one checkpoint.
+    """
+    def load(files, number):
+        batch, run = (stream, number), f"{stream}-{number}"
+        if not load_job.loaded_before(versions.version(files.sparkSession, warehouse), batch):
+            found = load_job.detect_workbooks(files.sparkSession, decode_workbooks(files), run, **how)
+            load_job.load_found(files.sparkSession, found, warehouse, run, on_existing, today, batch)
+
+    return (stream_files(spark, path, max_files_per_trigger).writeStream.foreachBatch(load)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def recent_alerts(alerts: DataFrame, now, hours=24) -> DataFrame:
     return alerts.filter(F.col("ts") > now - F.make_interval(hours=F.lit(hours)))
 

@@ -78,13 +78,13 @@ def test_import_job_is_idempotent(spark, tmp_path):
     assert first["elements_created"] == 3 and first["errors"] == 2 and first["sections_created"] == 2
     again = {r["counter"]: r["n"] for r in L.import_documents(spark, src, wh, "b", today="2025-07-01").collect()}
     assert again["clients_created"] == 0 and again["lots_reused"] == 1
-    e = {r["designation_exacte"]: r for r in spark.read.parquet(f"{wh}/elements").collect()}
-    assert len(e) == 3 and spark.read.parquet(f"{wh}/elements").count() == 3
+    e = {r["designation_exacte"]: r for r in L.stored_elements(spark, wh).collect()}
+    assert len(e) == 3 and L.stored_elements(spark, wh).count() == 3
     assert "fourniture escalier acier y compris pose" in e
     assert float(e["garde-corps inox"]["prix_total_ht"]) == 31.5
     assert float(e["porte acier"]["quantite"]) == 3.0
-    assert spark.read.parquet(f"{wh}/lots").first()["numero_lot"] == "06"
-    assert {r["numero_section"] for r in spark.read.parquet(f"{wh}/sections").collect()} == {"1.1", "1.2"}
+    assert L.stored(spark, wh, "lots").first()["numero_lot"] == "06"
+    assert {r["numero_section"] for r in L.stored(spark, wh, "sections").collect()} == {"1.1", "1.2"}
 
 
 def _import(spark, src, wh, run):
@@ -113,7 +113,7 @@ def test_import_skips_damaged_and_replaces_emptied_workbooks(spark, tmp_path):
             z.writestr(n, b[:len(b) // 2] if n.endswith("sheet2.xml") else b)
     got = _import(spark, src, wh, "two")
     assert got["errors"] == 1 and got["elements_created"] == 3 and L.stored_elements(spark, wh).count() == 3
-    logged = reports.read_errors(spark, f"{wh}/errors").collect()
+    logged = L.stored(spark, wh, "errors").collect()
     assert len(logged) == 1 and logged[0]["filename"].endswith("Coupe.xlsx")
     (src / "DPGF Lot 07 - Coupe.xlsx").unlink()
     write_xlsx(book, {"Page de garde": {0: ["Client : Ville de Lyon"]}, "Lot 06": {k: v for k, v in BODY.items() if k < 3}})
