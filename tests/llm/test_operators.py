@@ -286,6 +286,32 @@ def test_cotraining_odd_rows(docs, labels):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def test_cotraining_exchanges_over_all_documents(spark):
+    """The labelled words never meet the words of later documents: only pseudo-labels through the other view teach them."""
+    r = random.Random(2)
+    words = [[f"{kind}{part}{i}" for i in range(30)] for kind in ("good", "bad") for part in ("a", "b")]
+    def text(i):
+        k = 0 if i % 2 else 2
+        return " ".join(r.choices(words[k] if i < 400 else words[k + 1], k=60))
+    rows = [(i, text(i), "en" if i % 2 else "xx", "s", 300) for i in range(3000)]
+    rows += [(5000 + i, rows[401][1], "en", "s", 300) for i in range(2000)]        # copies have one vote
+    d = spark.createDataFrame(rows, SCHEMA)
+    y = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality long")
+    table = cotraining.features(d)
+    alone, taught = (cotraining.score(table, cotraining.train(table, y, rounds=n)).where("doc_id between 400 and 2999").collect() for n in (0, 4))
+    right = lambda got: sum((x.text_score > 0.5) == (x.doc_id % 2 == 1) for x in got) / len(got)
+    assert right(taught) > 0.95 and right(taught) > right(alone)
+    again = cotraining.classify(d.repartition(7), y).where("doc_id between 400 and 2999").collect()
+    assert sum(abs(x - z) > 0.01 for x, z in zip(sorted(r.score for r in again), sorted(r.score for r in taught))) == 0
+
+
+def test_cotraining_takes_one_text_of_a_repeated_id(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} {v} word{i}", "en", "s", 20) for i in range(60) for v in ("x", "y")]
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality long")
+    runs = [sorted(map(tuple, cotraining.classify(spark.createDataFrame(o, SCHEMA), y).collect())) for o in (rows, rows[::-1])]
+    assert [(r[0], r[4]) for r in runs[0]] == [(r[0], r[4]) for r in runs[1]] and len(runs[0]) == 120
+
+
 def test_cotraining_on_given_labels(spark):
     """Held-out accuracy: train on even ids, judge odd ones."""
     d, y = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
