@@ -15,7 +15,7 @@ from pricebook.functions.text import any_word, first_rule, rx
 from pricebook.operators.identify import SHEET
 from pricebook.operators.scale import key_text
 
-WINDOW_LEVELS = 10
+LEVEL_BASE, LEVEL_DIGITS = 8, 5       # 8 ** 5 levels: one for each of the 32,767 characters of a cell
 
 
 def by_row():
@@ -123,24 +123,25 @@ def section_level(df: DataFrame) -> DataFrame:
 def section_parents(sections: DataFrame) -> DataFrame:
     """Row and number of the nearest earlier section of a smaller level, at any level.
 
-    Levels up to ``WINDOW_LEVELS`` are carried in one window pass. Sections below them, rare by nature, also look
-    for the last earlier one among themselves.
+    The levels smaller than a level are, digit by digit in base ``LEVEL_BASE``, those with the same higher digits and a
+    smaller one here. So each digit is one window per (sheet, higher digits) that carries the last section of every
+    digit value: all windows share one shuffle by sheet, and a sheet of n sections costs ``LEVEL_DIGITS`` sorts of n
+    rows whatever its levels are. The digits hold every level that the text of a cell can have.
     """
-    before = by_row().rowsBetween(Window.unboundedPreceding, -1)
     lvl, here = F.col("niveau_hierarchique"), F.struct("row", "numero_section")
     s, cands = sections, []
-    for k in range(1, WINDOW_LEVELS + 1):
-        s = s.withColumn(f"_a{k}", F.last(F.when(lvl == k, here), ignorenulls=True).over(before))
-        cands.append(F.when(lvl > k, F.col(f"_a{k}")))
-    s = s.withColumn("_near", F.array_max(F.array_compact(F.array(*cands)))).drop(*[f"_a{k}" for k in range(1, WINDOW_LEVELS + 1)])
-    deep = sections.filter(lvl > WINDOW_LEVELS).select(*SHEET, "row", "numero_section", "niveau_hierarchique")
-    up = deep.select(*SHEET, F.col("row").alias("_r"), F.col("niveau_hierarchique").alias("_l"), here.alias("_h"))
-    deep = (deep.join(up, SHEET).filter((F.col("_r") < F.col("row")) & (F.col("_l") < lvl))
-            .groupBy(*SHEET, "row").agg(F.max("_h").alias("_deep")))
-    best = F.greatest("_near", "_deep")                 # structs compare by row first
-    return (s.join(deep, [*SHEET, "row"], "left").withColumn("_p", best)
-            .withColumn("parent_row", F.col("_p.row")).withColumn("parent_numero", F.col("_p.numero_section"))
-            .drop("_p", "_near", "_deep"))
+    for d in range(LEVEL_DIGITS):
+        unit = LEVEL_BASE ** d
+        digit = F.pmod(F.floor(lvl / unit), F.lit(LEVEL_BASE))
+        before = (Window.partitionBy(*SHEET, F.floor(lvl / (unit * LEVEL_BASE))).orderBy("row")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        last = {f"_a{d}_{k}": F.last(F.when(digit == k, here), ignorenulls=True).over(before) for k in range(LEVEL_BASE - 1)}
+        near = F.array(*[F.when(digit > k, F.col(f"_a{d}_{k}")) for k in range(LEVEL_BASE - 1)])
+        s = s.withColumns(last).withColumn(f"_d{d}", F.array_max(F.array_compact(near))).drop(*last)
+        cands.append(f"_d{d}")
+    best = F.greatest(*cands)                           # structs compare by row first
+    return (s.withColumn("_p", best).withColumn("parent_row", F.col("_p.row"))
+            .withColumn("parent_numero", F.col("_p.numero_section")).drop("_p", *cands))
 
 
 # ---- elements -------------------------------------------------------------------------------------

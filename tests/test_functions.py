@@ -1,8 +1,10 @@
 """Literal tables for scalars, patterns and section rules, with near misses."""
 
+import random
 import re
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,3 +129,19 @@ def test_parents_equal_a_stack(spark, levels):
 def test_lot_names(spark, name, num, nom):
     r = G.lot_from_filename(spark.createDataFrame([(1, name)], "file_id int, name string")).first()
     assert (r["numero_lot"], r["nom_lot"]) == (num, nom)
+
+
+def test_parents_of_one_large_sheet(spark):
+    """10^5 sections of levels 1 to 40 in one sheet, and levels far beyond: equal to a plain stack."""
+    r = random.Random(24)
+    levels = [r.randint(1, 40) for _ in range(100_000)] + [1, 32_767, 4_096, 32_767, 511, 512, 7, 8, 63, 64, 9]
+    df = spark.createDataFrame(pd.DataFrame({"row": range(len(levels)), "niveau_hierarchique": levels})).select(
+        F.lit(1).alias("file_id"), F.lit("s").alias("sheet"), F.col("row").cast("int"),
+        F.col("row").cast("string").alias("numero_section"), F.col("niveau_hierarchique").cast("int"))
+    got = {x["row"]: (x["parent_row"], x["parent_numero"]) for x in I.section_parents(df).collect()}
+    stack = []
+    for i, l in enumerate(levels):
+        while stack and stack[-1][1] >= l:
+            stack.pop()
+        assert got[i] == ((stack[-1][0], str(stack[-1][0])) if stack else (None, None))
+        stack.append((i, l))
