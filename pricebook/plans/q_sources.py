@@ -1,4 +1,5 @@
-"""Registered queries: file listings (A3-A7), logs, reports and error tables as round trips (A8, A10, A11, A13, A15)."""
+"""Registered queries: file listings (A3-A7), workbooks, logs, reports and error tables as round trips (A1, A2, A8, A10, A11,
+A13, A15)."""
 
 import uuid
 
@@ -8,6 +9,8 @@ from pricebook.plans.fixtures import oracle
 from pricebook.session import checkpoint_dir
 from pricebook.sources import files as S
 from pricebook.sources import reports as P
+from pricebook.sources import workbooks as B
+from pricebook.sources.workbook_writer import write_workbooks
 
 PLANS = {}
 
@@ -48,6 +51,20 @@ def _folder(t, name):
     return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _books(t):
+    path = _folder(t, "workbooks")
+    rows = t.rows.withColumn("path", F.concat(F.col("file_id") % 7, F.lit("/"), "file_id", F.lit(".xlsx")))
+    write_workbooks(rows.withColumn("sheet_no", F.substring("sheet", 5, 9).try_cast("int")), path)
+    return path
+
+
+ID = F.regexp_extract("path", r"/(\d+)\.xlsx$", 1).cast("bigint").alias("file_id")
+reg("a01_read_workbooks", lambda t: B.read_workbook_rows(t.spark, _books(t)).select(ID, "sheet", "row", "cells", "error"), """
+    select file_id::bigint as file_id, sheet, row, cells, null::varchar as error from rows where len(list_filter(cells, lambda c: c <> '')) > 0""", "rows")
+reg("a02_list_workbooks", lambda t: S.list_files(t.spark, _books(t)).filter("size > 0").select(ID, "name", S.base_name("folder").alias("folder")), """
+    select distinct file_id::bigint as file_id, file_id || '.xlsx' as name, (file_id % 7)::varchar as folder from rows""", "rows")
+
+
 def _log_files(t):
     path = _folder(t, "logs")
     (t.log_lines.select("file", "line_no", F.col("text").alias("value")).repartition("file").sortWithinPartitions("file", "line_no")
