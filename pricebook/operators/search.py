@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricebook.functions.text import (confidence_level, has, jaccard, query_terms, rx,
                                       sequence_ratio, tokenize, trigrams)
+from pricebook.operators.scale import staged
 
 # Weight of a hit per searched column.
 WEIGHTS = (("designation", 10), ("description", 5), ("titre_section", 3))
@@ -190,35 +191,74 @@ def fuzzy_search(flat, paths, q, threshold=70.0, limit=None, texts=None):
             .orderBy(F.desc("score"), "id_element"))
 
 
-def fuzzy_text_pairs(left: DataFrame, right: DataFrame, threshold=0.7) -> DataFrame:
+HOT = 1000      # a gram is hot from one part in so many of all rows, so at most so many are broadcast
+
+
+def _hot(counts, weight, least):
+    """Grams that hold at least 1/HOT of all rows (and ``least`` rows): at most HOT of them, with the total beside."""
+    total = counts.agg(F.sum(weight).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).filter((weight * HOT > F.col("total")) & (weight >= least))   # one row
+
+
+def _ranked_grams(texts, hot_rows):
+    """(id, l, r, n, o): the grams of each text from rare to frequent; hot grams get their count without a shuffle."""
+    grams = texts.select("id", "l", "r", F.explode("grams").alias("g"))
+    counts = staged(grams.groupBy("g").agg(F.count("*").alias("freq")), "gram-counts")
+    hot = _hot(counts, F.col("freq"), hot_rows).select("g", "freq")
+    marked = grams.join(F.broadcast(hot), "g", "left")                       # at most HOT rows
+    rest = marked.filter("freq is null").drop("freq").join(counts.join(F.broadcast(hot), "g", "left_anti"), "g")
+    lists = (marked.filter("freq is not null").unionByName(rest)
+             .groupBy("id", "l", "r").agg(F.array_sort(F.collect_list(F.struct("freq", "g"))).alias("o")))    # the grams of one text
+    return lists.select("id", "l", "r", F.size("o").alias("n"), "o")
+
+
+def _split_hot(left, right, hot_rows):
+    """Posting rows of both sides with a cell: a hot gram's lists are cut into ranges that meet pairwise, each in a cell."""
+    counts = staged(left.select("g", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(right.select("g", F.lit(0), F.lit(1)))
+                    .groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "gram-postings")
+
+    def ranges(c):
+        return F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(c) * HOT / F.col("total")))).cast("int")
+
+    hot = F.broadcast(_hot(counts, F.col("a") + F.col("b"), hot_rows).select("g", ranges("a").alias("la"), ranges("b").alias("rb")))
+    l, r = left.join(hot, "g", "left"), right.join(hot, "g", "left")
+    one = F.lit(1)
+    mine = F.pmod(F.xxhash64("lid"), F.coalesce("la", one)), F.pmod(F.xxhash64("rid"), F.coalesce("rb", one))
+    l = l.withColumn("i", mine[0].cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("rb", one) - 1)))
+    r = r.withColumn("j", mine[1].cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("la", one) - 1)))
+    return l.drop("la", "rb"), r.drop("la", "rb")
+
+
+def fuzzy_text_pairs(left: DataFrame, right: DataFrame, threshold=0.7, hot_rows=10000) -> DataFrame:
     """All pairs of distinct texts with trigram share above the threshold, without a cross join.
 
-    Exact prefix filter: with grams ordered from rare to frequent, two sets
-    with share > t must have a gram in common among their first
-    ``n - ceil(t * n) + 1``. Pairs are formed on those rare grams only, tested
-    by length, deduplicated, and verified on the full sets.
+    Each distinct text of both sides is cut into grams once and stored under a number. Exact filters: with grams
+    ordered from rare to frequent, two sets with share > t have a gram in common among their first
+    ``n - ceil(t * n) + 1``; their sizes differ by at most 1/t; and after their first common gram enough grams must be
+    left. Numbers meet on prefix grams only, then the pairs left are verified on the full sets. A gram in a large share
+    of the texts is counted by a broadcast and its lists meet in cells, so no gram is one task (``hot_rows``: from which
+    length on). Nulls and texts without a letter or digit match nothing.
     """
-    def distinct_texts(df, name):
-        return df.select(F.lower("text").alias(name)).filter(f"{name} <> ''").distinct()
-
-    lt = distinct_texts(left, "ltext").withColumn("lg", trigrams("ltext"))
-    rt = distinct_texts(right, "rtext").withColumn("rg", trigrams("rtext"))
-    grams = (lt.select(F.explode("lg").alias("g")).unionAll(rt.select(F.explode("rg").alias("g")))
-             .groupBy("g").agg(F.count("*").alias("freq")))
-
-    def prefix(df, text, sets, size):
-        n = F.col(size)
-        ranked = (df.select(text, F.size(sets).alias(size), F.explode(sets).alias("g")).join(grams, "g")
-                  .groupBy(text, size).agg(F.array_sort(F.collect_list(F.struct("freq", "g"))).alias("_o")))
-        keep = n - F.ceil(F.lit(threshold) * n).cast("int") + 1
-        return ranked.select(text, size, F.explode(F.slice("_o", F.lit(1), F.greatest(keep, F.lit(1)))).alias("_s")
-                             ).select(text, size, F.col("_s.g").alias("g"))
-
-    lp, rp = prefix(lt, "ltext", "lg", "ln"), prefix(rt, "rtext", "rg", "rn")
-    pairs = (lp.join(rp, "g")
-             .filter((F.col("rn") >= threshold * F.col("ln")) & (F.col("ln") >= threshold * F.col("rn")))
-             .select("ltext", "rtext").distinct())
-    return (pairs.join(lt, "ltext").join(rt, "rtext")
+    def side(df, l):
+        return df.select(F.lower("text").alias("text"), F.lit(l).alias("l"), F.lit(not l).alias("r"))
+
+    both = side(left, True).unionAll(side(right, False)).filter("text <> ''")
+    texts = staged(both.groupBy("text").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+                   .select(F.monotonically_increasing_id().alias("id"), "text", "l", "r", trigrams("text").alias("grams")), "texts")
+    n = F.col("n")
+    keep = F.greatest(n - F.ceil(F.lit(threshold) * n).cast("int") + 1, F.lit(1))
+    prefix = staged(_ranked_grams(texts, hot_rows).select("id", "l", "r", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("pos", "s"))
+                    .select("id", "l", "r", "n", "pos", F.col("s.g").alias("g")), "prefix-grams")
+    lp = prefix.filter("l").select("g", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"))
+    rp = prefix.filter("r").select("g", F.col("id").alias("rid"), F.col("n").alias("rn"), F.col("pos").alias("rpos"))
+    lp, rp = _split_hot(lp, rp, hot_rows)
+    sizes = (F.col("rn") >= threshold * F.col("ln")) & (F.col("ln") >= threshold * F.col("rn"))
+    left_over = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))      # positions from 0: this gram counts
+    enough = left_over * (1 + threshold) >= threshold * (F.col("ln") + F.col("rn")) - 1e-6
+    pairs = lp.join(rp, ["g", "i", "j"]).filter(sizes & enough).select("lid", "rid").distinct()
+    lt = texts.filter("l").select(F.col("id").alias("lid"), F.col("text").alias("ltext"), F.col("grams").alias("lg"))
+    rt = texts.filter("r").select(F.col("id").alias("rid"), F.col("text").alias("rtext"), F.col("grams").alias("rg"))
+    return (pairs.join(lt, "lid").join(rt, "rid")
             .withColumn("similarity", jaccard(F.col("lg"), F.col("rg")))
             .filter(F.col("similarity") > threshold).select("ltext", "rtext", "similarity"))
 
@@ -237,6 +277,15 @@ def fuzzy_match_document(items, flat, threshold=70.0):
             .withColumn("score", F.col("similarity") * 100).drop("ltext", "rtext", "similarity"))
 
 
+def fuzzy_match_report(items, flat, paths, threshold=70.0):
+    """The matches with their project, lot and section path, as a document's report lists them."""
+    hits = fuzzy_match_document(items, flat, threshold)
+    return (hits.join(paths.select("id_section", "chemin"), "id_section", "left")
+            .select("id_item", "id_element", "designation", "unite", "quantite", "prix_unitaire", "score",
+                    F.col("nom_projet").alias("dpgf_source"), F.col("nom_lot").alias("lot"),
+                    F.coalesce("chemin", F.lit("Inconnue")).alias("section")))
+
+
 def fuzzy_match_summary(items, flat, threshold=70.0):
     """Matches of incoming texts against the base, one row per text pair with base statistics."""
     pairs = fuzzy_text_pairs(items, flat.select(F.col("designation").alias("text")), threshold / 100.0)

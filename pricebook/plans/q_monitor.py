@@ -33,6 +33,12 @@ EA = f"""{AH}, ea as (select file as source_file, error_type, sum(n)::bigint as
     from (select *, row_number() over (partition by file, error_type order by line_no) as rn from ah where n > 0) group by 1, 2)"""
 reg("l02_error_alerts", lambda t: day(M.error_alerts(t.log_lines)).withColumn("matches", F.array_join("matches", "|")),
     f"with {EA} select 'warning' as level, 'Erreur détectée: ' || error_type as title, error_type, occurrences, matches, source_file, {TS} from ea", "log_lines")
+reg("l02_error_alerts_window", lambda t: day(day(M.error_alerts_stream(t.log_lines), "start"), "end").withColumn("matches", F.array_join("matches", "|")),
+    f"""with {AH}, w as (select *, time_bucket(interval 5 minutes, ts) as s from ah where n > 0 and ts is not null),
+    r as (select *, row_number() over (partition by s, file, error_type order by line_no, text) as rn from w)
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as "start", strftime(s + interval 5 minutes, '%Y-%m-%d %H:%M:%S') as "end", error_type,
+    sum(n)::bigint as occurrences, string_agg(text, '|' order by line_no, text) filter (where rn <= 5) as matches, file as source_file
+    from r group by s, file, error_type""", "log_lines")
 _b = " union all ".join(f"select '{n}' as name, '{o}' as op, {b}::double as bound, '{lv}' as level, '{t}' as title" for n, o, b, lv, t in M.BOUNDS)
 TA = f"{LM}, ta as (select level, title, lm.name, value, bound, ts, source_file from lm join ({_b}) b on lm.name = b.name where case when op = '>' then value > bound else value < bound end)"
 reg("l03_threshold_alerts", lambda t: day(M.threshold_alerts(M.extract_metrics(t.log_lines))), f"with {TA} select level, title, name, value, bound, {TS}, source_file from ta", "log_lines")

@@ -65,30 +65,106 @@ def alert_hits(lines: DataFrame) -> DataFrame:
             .filter("h.n > 0").select("file", "line_no", "ts", "text", F.col("h.family").alias("error_type"), F.col("h.n").alias("n")))
 
 
+def _first_matches(h, keys, examples):
+    """Occurrences, latest time and first matches in line order (repeated numbers: by text) per key."""
+    w = Window.partitionBy(*keys).orderBy("line_no", "text")
+    ex = (h.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= examples).groupBy(*keys)
+          .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("matches")))
+    return h.groupBy(*keys).agg(F.sum("n").alias("occurrences"), F.max("ts").alias("ts")).join(ex, keys)
+
+
 def error_alerts(lines: DataFrame, examples=5) -> DataFrame:
     """Alert per log and family with its occurrences and first examples."""
-    h = alert_hits(lines)
-    w = Window.partitionBy("file", "error_type").orderBy("line_no")
-    ex = (h.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= examples).groupBy("file", "error_type")
-          .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("matches")))
-    n = h.groupBy("file", "error_type").agg(F.sum("n").alias("occurrences"), F.max("ts").alias("ts"))
-    return n.join(ex, ["file", "error_type"]).select(
+    return _first_matches(alert_hits(lines), ["file", "error_type"], examples).select(
         F.lit("warning").alias("level"), F.concat(F.lit("Erreur détectée: "), F.col("error_type")).alias("title"), "error_type",
         "occurrences", "matches", F.col("file").alias("source_file"), "ts")
 
 
+def _windowed(hits, window):
+    """Hits with the ends of their event-time window in milliseconds; lines without a time are in no window."""
+    return hits.select(F.window("ts", window).alias("_w"), "file", "error_type", "ts", "n", F.col("line_no").cast("long").alias("line_no"),
+                       "text").select("*", F.unix_millis("_w.start").alias("start_ms"), F.unix_millis("_w.end").alias("end_ms")).drop("_w")
+
+
+def _alert_columns(df):
+    return df.select(F.timestamp_millis("start_ms").alias("start"), F.timestamp_millis("end_ms").alias("end"), "error_type", "occurrences",
+                     "matches", F.col("file").alias("source_file"))
+
+
+ALERT_KEY = ["start_ms", "end_ms", "file", "error_type"]
+
+
+class FirstMatches(StatefulProcessor):
+    """One log and family in one event-time window: occurrences and the first ``examples`` matches by line number.
+
+    The state holds one count and at most ``examples`` lines; it is sent and cleared when the watermark passes the end
+    of the window. Lines of a window that was already sent are late and dropped, as Spark's own windows do.
+    """
+
+    examples = 5
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "n long")
+        self.first = handle.getListState("first", "line_no long, text string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        end, n, kept = int(key[1]), 0, []
+        late = end <= timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            if not late:
+                n += int(pdf["n"].sum())
+                kept = sorted(kept + list(zip(pdf["line_no"].astype("int64").tolist(), pdf["text"])))[:self.examples]
+        if not late:
+            before = self.total.get()[0] if self.total.exists() else 0
+            self.total.update((before + n,))
+            earlier = [tuple(x) for x in self.first.get()] if self.first.exists() else []
+            self.first.put(sorted(earlier + kept)[:self.examples])
+            self.handle.registerTimer(end)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n, lines = self.total.get()[0], [text for _, text in self.first.get()]
+        self.total.clear()
+        self.first.clear()
+        yield pd.DataFrame({"start_ms": [key[0]], "end_ms": [key[1]], "file": [key[2]], "error_type": [key[3]],
+                            "occurrences": [n], "matches": [lines]})
+
+    def close(self) -> None:
+        pass
+
+
+def _cut_matches(examples):
+    """Per task and key the first matches only; the first of them carries the occurrences of all."""
+    def run(batches):
+        kept = None
+        for pdf in batches:
+            both = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(["line_no", "text"]).reset_index(drop=True)
+            group = both.groupby(ALERT_KEY, sort=False, dropna=False)
+            place = group.cumcount()
+            both["n"] = group["n"].transform("sum").where(place == 0, 0)
+            kept = both[place < examples]
+        if kept is not None:
+            yield kept
+    return run
+
+
 def error_alerts_stream(lines: DataFrame, window="5 minutes", delay="10 minutes", examples=5) -> DataFrame:
-    """The same by event-time window: occurrences per log and family, with up to ``examples`` matching lines.
+    """The same by event-time window: occurrences per log and family, with its first ``examples`` matching lines.
 
-    State stays bounded: of each class of line numbers modulo ``examples`` only the first match is kept.
+    A batch frame gives all windows. A stream (append mode, RocksDB state store provider) gives each window once, when
+    the watermark passes its end; lines may come late by ``delay`` and in any order. Each task of a micro-batch passes
+    on at most ``examples`` lines per key, so a failing log does not meet in one task. Lines carry a number.
     """
-    def first(i):
-        mine = F.col("line_no") % examples == i
-        return F.min_by(F.when(mine, F.col("text")), F.when(mine, F.col("line_no")))
-    return (alert_hits(lines.withWatermark("ts", delay)).groupBy(F.window("ts", window), "file", "error_type")
-            .agg(F.sum("n").alias("occurrences"), *[first(i).alias(f"_e{i}") for i in range(examples)])
-            .select("window.start", "window.end", "error_type", "occurrences",
-                    F.array_compact(F.array(*[F.col(f"_e{i}") for i in range(examples)])).alias("matches"), F.col("file").alias("source_file")))
+    if not lines.isStreaming:
+        return _alert_columns(_first_matches(_windowed(alert_hits(lines), window), ALERT_KEY, examples))
+    hits = _windowed(alert_hits(lines.withWatermark("ts", delay)), window).drop("ts")
+    processor = type("AlertState", (FirstMatches,), {"examples": examples})
+    sent = hits.select(*ALERT_KEY, "n", "line_no", "text").mapInPandas(
+        _cut_matches(examples), "start_ms long, end_ms long, file string, error_type string, n long, line_no long, text string")
+    return _alert_columns(sent.groupBy(*ALERT_KEY).transformWithStateInPandas(
+        statefulProcessor=processor(), outputMode="Append", timeMode="EventTime",
+        outputStructType="start_ms long, end_ms long, file string, error_type string, occurrences long, matches array<string>"))
 
 
 def threshold_alerts(metrics: DataFrame, bounds=BOUNDS) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -266,6 +267,33 @@ def test_text_pairs_equal_brute_force(spark):
         assert {(r["ltext"], r["rtext"]) for r in search.fuzzy_text_pairs(frame(left), frame(right), t).collect()} == want
 
 
+def test_text_pairs_with_hot_grams(spark):
+    """Nine texts of ten share a word, some are made of frequent words only; hot lists are cut into cells from one row on."""
+    def grams(x):
+        return {w[i:i + 3] for t in x.split() for w in ["  " + t + " "] for i in range(len(w) - 2)}
+    rng = random.Random(5)
+    words = ["beton", "acier", "bois", "zinc", "pvc", "laine"] + ["".join(rng.choices("abcdefgh", k=5)) for _ in range(40)]
+    texts = ["ml" + "".join(" " + rng.choice(words[:6 if i % 3 else 46]) for _ in range(i % 5)) for i in range(300)]
+    left, right = texts[:200] + ["", None, "--", "ml"], texts[150:] + [None, "--", "", "ml ml"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "text string")
+    distinct = lambda xs: {x for x in xs if x and grams(x.replace("-", " "))}
+    for t in (0.4, 0.7):
+        want = {(a, b) for a in distinct(left) for b in distinct(right) if len(grams(a) & grams(b)) / len(grams(a) | grams(b)) > t}
+        for hot in (1, 10000):
+            got = search.fuzzy_text_pairs(frame(left), frame(right), t, hot_rows=hot).collect()
+            assert {(r["ltext"], r["rtext"]) for r in got} == want and len(got) == len(want)
+    assert search.fuzzy_text_pairs(frame([]), frame(right), 0.5).count() == 0
+
+
+def test_hot_lists_are_cut(spark):
+    left = spark.range(4000).select(F.lit("g").alias("g"), F.col("id").alias("lid"))
+    right = spark.range(2000).select(F.lit("g").alias("g"), F.col("id").alias("rid"))
+    l, r = search._split_hot(left, right, 100)
+    cells = l.groupBy("i", "j").count().agg(F.count("*"), F.max("count")).first()
+    assert cells[0] > 300 and cells[1] < 400               # 26 ranges of the left list against 19 of the right
+    assert l.join(r, ["g", "i", "j"]).count() == 4000 * 2000
+
+
 def test_lot_and_section_corrections(spark):
     lots = spark.sql("select * from values (1L, 1L, '00', 'Lot par défaut'), (2L, 2L, '01', 'Ancien') as t(id_lot, id_dpgf, numero_lot, nom_lot)")
     sections = spark.sql("select * from values (1L, 1L, '00', 'Divers', 1), (2L, 2L, '1', 'Murs', 1) as t(id_section, id_lot, numero_section, titre_section, niveau_hierarchique)")
@@ -298,22 +326,47 @@ def test_stream_equals_batch(spark, t, tmp_path):
     batch = M.extract_metrics(lines)
     got = run(M.threshold_alerts(M.extract_metrics(s)), "alerts", "append", tmp_path / "c1")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.threshold_alerts(batch).collect()))
-    w = run(M.error_alerts_stream(s), "families", "complete", tmp_path / "c2")
-    want = M.alert_hits(lines).groupBy("error_type").agg(F.sum("n").alias("n"))
-    plain = M.error_alerts_stream(lines)
-    assert sorted(map(str, w.collect())) == sorted(map(str, plain.collect()))
-    assert all(1 <= len(r["matches"]) <= 5 and r["source_file"] for r in w.collect())
     metrics = M.extract_metrics(lines)
     hs = run(M.health_stream(M.extract_metrics(s)), "health", "complete", tmp_path / "c4")
     assert sorted(map(str, hs.collect())) == sorted(map(str, M.health_stream(metrics).collect())) and hs.count() > 0
     assert M.health_alerts(hs).count() == hs.filter("status <> 'healthy'").count()
-    assert {r["error_type"]: r["n"] for r in w.groupBy("error_type").agg(F.sum("occurrences").alias("n")).collect()} == {
-        r["error_type"]: r["n"] for r in want.collect()}
     ms = run(M.metric_summary_stream(stream_of(spark, t.metrics.select("name", "value", "ts"), tmp_path / "m"), "1 hour", "1 hour"),
              "summary", "complete", tmp_path / "c3")
     assert ms.agg(F.sum("n")).first()[0] == t.metrics.count()
 
 
+def test_first_matches_by_window(spark, t, tmp_path):
+    """Many small batches in shuffled order, a window at a time: the stream sends what the batch form finds, once."""
+    base = datetime.datetime(2024, 1, 1, 8)
+    rows = [(f"f{i % 2}.log", i, base + datetime.timedelta(seconds=7 * i), "timeout timeout" if i % 3 else f"import error {i}")
+            for i in range(0, 400, 2)]
+    rows += [("f0.log", 4, base, "out of memory"), ("f0.log", 4, base, "timeout again")]      # a repeated number
+    schema = "file string, line_no int, ts timestamp, text string"
+    random.Random(3).shuffle(rows)
+    path, end = str(tmp_path / "in"), base + datetime.timedelta(days=1)
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def feed(some):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+        sent = []
+        (M.error_alerts_stream(src, delay="2 hours").writeStream.foreachBatch(lambda df, i: sent.extend(df.collect()))
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120))
+        return sent
+
+    for at in range(0, len(rows), 70):
+        sent = feed(rows[at:at + 70])
+    assert sent == []
+    sent = feed([("end.log", 1, end, "quiet")])             # closes every window
+    want = M.error_alerts_stream(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(str, sent)) == sorted(map(str, want)) and max(len(r["matches"]) for r in want) == 5
+    for r in want:
+        mine = sorted((n, x) for f, n, ts, x in rows if f == r["source_file"] and r["start"] <= ts < r["end"] and re.search(
+            {"timeout_issues": "timeout", "import_failures": "import", "memory_issues": "memory"}[r["error_type"]], x))
+        assert r["matches"] == [x for _, x in mine[:5]] and r["occurrences"] == sum(max(1, x.count("timeout")) for _, x in mine)
+    assert feed([("f0.log", 1, base, "timeout late")]) == []        # its window was sent; a new run sends nothing again
+
+
 def test_history_state(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([("m", base + datetime.timedelta(seconds=i), float(i)) for i in range(30)], "name string, ts timestamp, value double")
