@@ -15,6 +15,7 @@ other and count each; an empty table gives no shard and no row; other columns ar
 
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,34 +51,35 @@ class Encoder:
         self.starts, self.sizes, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
         self.sizes[0] = 1
 
-    def _add(self, words, lists):
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        total = int(sizes.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
+    def _add(self, words, ids, sizes):
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
         if self.n + len(words) > len(self.starts):
             more = max(len(self.starts), len(words))
             self.starts = np.concatenate([self.starts, np.zeros(more, np.int64)])
             self.sizes = np.concatenate([self.sizes, np.zeros(more, np.int32)])
-        self.ids[self.used:self.used + total] = np.concatenate(lists) if lists else 0
+        self.ids[self.used:self.used + len(ids)] = ids
         self.sizes[self.n:self.n + len(words)] = sizes
         self.starts[self.n:self.n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.place.update(zip(words, range(self.n, self.n + len(words))))
-        self.n, self.used = self.n + len(words), self.used + total
+        self.n, self.used = self.n + len(words), self.used + len(ids)
 
     def _one(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, words):
-        odd = [w for w in words if MARK in w]
-        plain = [w for w in words if MARK not in w] if odd else words
-        for i in range(0, len(plain), 4096):
-            some = plain[i:i + 4096]
-            ids = self._one(MARK.join(some))
-            runs = np.split(ids, np.flatnonzero(ids == self.mark))
-            self._add(some, runs[:1] + [x[1:] for x in runs[1:]])
-        if odd:
-            self._add(odd, [self._one(w) for w in odd])
+        """Store new stretches; they are numbered in their order."""
+        for i in range(0, len(words), 4096):
+            some = words[i:i + 4096]
+            if any(MARK in w for w in some):
+                lists = [self._one(w) for w in some]
+                ids, sizes = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+            else:
+                ids = self._one(MARK.join(some))
+                marks = np.flatnonzero(ids == self.mark)
+                sizes = np.diff(marks, prepend=-1, append=len(ids)) - 1
+                ids = np.delete(ids, marks)
+            self._add(some, ids, sizes)
 
     def encode(self, texts: pa.Array):
         """(ids, sizes): all ids with the end id after each text, and how many each text has."""
@@ -87,10 +89,10 @@ class Encoder:
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(new)
-        here = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        here = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(here < 0)
+        here[new] = np.arange(self.n, self.n + len(new))
+        self._learn([words[i] for i in new.tolist()])
         stretch = here[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
         counts = np.diff(lists.offsets.to_numpy())
         ends = np.cumsum(counts)
