@@ -58,10 +58,13 @@ def _books(t):
     return path
 
 
-ID = F.regexp_extract("path", r"/(\d+)\.xlsx$", 1).cast("bigint").alias("file_id")
-reg("a01_read_workbooks", lambda t: B.read_workbook_rows(t.spark, _books(t)).select(ID, "sheet", "row", "cells", "error"), """
+def _file_id():
+    return F.regexp_extract("path", r"/(\d+)\.xlsx$", 1).cast("bigint").alias("file_id")
+
+
+reg("a01_read_workbooks", lambda t: B.read_workbook_rows(t.spark, _books(t)).select(_file_id(), "sheet", "row", "cells", "error"), """
     select file_id::bigint as file_id, sheet, row, cells, null::varchar as error from rows where len(list_filter(cells, lambda c: c <> '')) > 0""", "rows")
-reg("a02_list_workbooks", lambda t: S.list_files(t.spark, _books(t)).filter("size > 0").select(ID, "name", S.base_name("folder").alias("folder")), """
+reg("a02_list_workbooks", lambda t: S.list_files(t.spark, _books(t)).filter("size > 0").select(_file_id(), "name", S.base_name("folder").alias("folder")), """
     select distinct file_id::bigint as file_id, file_id || '.xlsx' as name, (file_id % 7)::varchar as folder from rows""", "rows")
 
 
