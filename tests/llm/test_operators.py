@@ -461,7 +461,7 @@ def test_queries_against_sql(spark):
     """The twins at the next scale; the smallest is run with all other queries."""
     sf = SF.replace("0.001", "0.01")
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, sf)
