@@ -7,7 +7,8 @@ folder, so a repeated task replaces its own files. Reading decodes one shard at
 
 Encoding: the tokenizer drops white space and never joins what it separates, so ids are made once per distinct
 stretch between white space and kept in the worker (``CACHE`` stretches; beyond that the store starts anew). The
-distinct ones are encoded by the library many at a time, with a special token between them as a mark.
+distinct ones are encoded by the library ``AT_ONCE`` at a time, with a control character between them whose own id marks
+the cuts; stretches that hold it, or a count of marks that is not as it must be, are encoded one by one.
 
 Defined cases: a null or empty text has no ids but the end id; null doc_ids come first; repeated rows follow each
 other and count each; an empty table gives no shard and no row; other columns are not read.
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from pricebook.llm.common import scratch
 from pricebook.llm.wavelet import WaveletMatrix
 
-VOCABULARY, MARK, END = "word_bpe_49k.json", "<|startoftext|>", 1
+VOCABULARY, MARK, END = "word_bpe_49k.json", "\x01", 1
 SHARD = 1 << 20
 CACHE = 1_500_000
+AT_ONCE = 128                # the library takes longer a stretch on long joins
 STEP = 4 << 20              # bytes of text handled at once, if no single document is longer
 SHARDS = "part int, shard int, n long, doc_ids array<long>, sizes array<int>, matrix binary"
 DOCS = "part int, shard int, nth int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -41,7 +43,7 @@ class Encoder:
     def __init__(self, path):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        self.mark = self._one(MARK)
         self._clear()
 
     def _clear(self):
@@ -67,19 +69,23 @@ class Encoder:
     def _one(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _some(self, words):
+        """(ids, sizes) of a few stretches, by one call between marks where the marks can be told apart."""
+        text = f" {MARK} ".join(words)
+        if len(self.mark) == 1 and text.count(MARK) == len(words) - 1:
+            ids = self._one(text)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+        lists = [self._one(w) for w in words]
+        return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+
     def _learn(self, words):
         """Store new stretches; they are numbered in their order."""
-        for i in range(0, len(words), 4096):
-            some = words[i:i + 4096]
-            if any(MARK in w for w in some):
-                lists = [self._one(w) for w in some]
-                ids, sizes = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
-            else:
-                ids = self._one(MARK.join(some))
-                marks = np.flatnonzero(ids == self.mark)
-                sizes = np.diff(marks, prepend=-1, append=len(ids)) - 1
-                ids = np.delete(ids, marks)
-            self._add(some, ids, sizes)
+        for i in range(0, len(words), 32 * AT_ONCE):
+            some = words[i:i + 32 * AT_ONCE]
+            ids, sizes = zip(*(self._some(some[j:j + AT_ONCE]) for j in range(0, len(some), AT_ONCE)))
+            self._add(some, np.concatenate(ids), np.concatenate(sizes))
 
     def encode(self, texts: pa.Array):
         """(ids, sizes): all ids with the end id after each text, and how many each text has."""

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,26 @@ def test_token_shards(docs, empty, spark, tmp_path):
     assert token_shards.encode_documents(empty).count() == 0
 
 
+def test_encoder_joins_few_stretches_by_marks():
+    """Short joins, also around special tokens; stretches with the mark itself are encoded one by one."""
+    import public_tokenizers
+    e = token_shards.Encoder(public_tokenizers.path(token_shards.VOCABULARY))
+    calls, one = [], e._one
+    e._one = lambda text: calls.append(len(text.split())) or one(text)
+    r = random.Random(2)
+    odd = ["a<|startoftext|>b", "<|endoftext|>", "\u00a0", "\u0301a", "\u0915\u093c\u0958", "\u0130\u03a3", "\x85", "'s", "\U0001f642", "1\u00b2"]
+    texts = [" ".join(r.choice(odd) if r.random() < 0.1 else f"w{i}x{j}" for j in range(40)) for i in range(50)] + ["", None]
+
+    def check(texts):
+        ids, sizes = e.encode(pa.array(texts))
+        want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+    check(texts)
+    assert len(calls) <= 20 and max(calls) <= 2 * token_shards.AT_ONCE
+    check(["x \x01 y", "a\x01b \x01\x01", "plain words"])
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 5), (700, 1), (3000, 2), (5000, 300)])
 def test_wavelet_matrix(n, top):
     x = np.random.default_rng(n).integers(0, top, n) * 7
