@@ -195,6 +195,19 @@ def test_line_dedup_without_broadcast(spark, monkeypatch, rows):
     assert {r.doc_id: r.removed for r in line_dedup.report(d).collect()} == {k: ",".join(map(str, v)) for k, v in plain.removed_lines(by_text(d)).items()}
 
 
+def test_long_lines_that_differ_are_not_read_again(spark):
+    """Pairs of long lines which 64 parity bits cannot tell apart stop at 256, before any words are moved; similar ones pass."""
+    rare = " ".join(f"rare{i}" for i in range(20))
+    texts = [rare + " " + " ".join(f"w{d}x{j}" for j in range(180)) for d in range(6)]
+    texts += [texts[0].replace("w0x7 ", "other ") + " more"]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    named = line_dedup.classes(line_dedup.lines(d))
+    all_ = named.select(F.col("id").alias("x")).crossJoin(named.select(F.col("id").alias("y"))).where("x != y")
+    of = {r.id: r.doc_id for r in named.select("id", "at.doc_id").collect()}
+    assert {(of[r.x], of[r.y]) for r in line_dedup.near(all_, named).collect()} == {(0, 6), (6, 0)}
+    assert {r.doc_id: r.removed for r in line_dedup.report(d).collect()} == {i: "0" if i == 6 else "" for i in range(7)}
+
+
 def test_shuffled_positions_carry_their_own_words(docs, bench, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     plan = decontaminate.hits(docs, bench[1])._jdf.queryExecution().optimizedPlan()
