@@ -23,32 +23,40 @@ rows; other columns pass through ``dedup_lines`` untouched.
 """
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricebook.llm.common import SPACE, computed, row_key, space_words, stored
+from pricebook.llm.common import SPACE, computed, row_key, stored
 
 LEAST, EQUAL_ONLY, BUCKETS, BROADCAST_KEYS = 5, 3, 65_536, 500_000
 
 
+def _parts(line):
+    """Words of a line; a pattern is tried only where it holds white space other than spaces."""
+    other = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in "\t\x0b\x0c\r"])
+    return F.array_remove(F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
+
+
+def _words(line):
+    return F.array_distinct(_parts(line))
+
+
 def rarity(docs: DataFrame) -> list:
     """Logarithmic corpus count of each hash bucket; 65,536 rows at most go to the driver."""
-    w = docs.select(F.explode(space_words(F.col("text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+    w = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_parts(F.col("line"))).alias("w"))
+    w = w.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
     seen = {r["b"]: r["r"] for r in w.groupBy("b").agg(F.floor(F.log2(F.count("*")) * 2).cast("int").alias("r")).collect()}
     return [min(seen.get(b, 0), 120) for b in range(BUCKETS)]
 
 
-def _words(line):
-    return F.array_distinct(F.array_remove(F.split(line, SPACE), ""))
-
-
 def lines(docs: DataFrame, least=LEAST) -> DataFrame:
     """A row per line of ``least`` words or more: place, class key, size, parity bits and prefix tokens."""
     rank = F.from_json(F.lit(json.dumps(rarity(docs))), "array<tinyint>")
     d = docs.select(row_key("doc_id", "text").alias("k"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     d = d.select("k", "doc_id", F.posexplode_outer("l").alias("pos", "line"))
-    d = d.select("k", "doc_id", "pos", F.transform(F.array_remove(F.split("line", SPACE), ""), lambda x: F.xxhash64(x)).alias("h"))
+    d = d.select("k", "doc_id", "pos", F.transform(_parts(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
     d = computed(d, "h").where(F.size("h") >= max(least, 1))
     # rarity in the highest bits, 57 bits of the hash below: one sort of longs gives the order
     key = lambda h: F.shiftleft(F.get(rank, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))

@@ -189,6 +189,15 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert kept[43] == "" and not kept[1].endswith("Read more")
 
 
+def test_line_dedup_splits_at_any_white_space(spark):
+    """Spaces alone or any other white space between words: the same words; the parts are those of the pattern."""
+    texts = ["a b c d e f", "a  b\tc d \x0be f ", "f\re\x0cd c b a", "\t", " ", "a\u00a0b c d e f g"]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.w for r in d.select("doc_id", line_dedup._parts(F.col("text")).alias("w")).collect()}
+    assert got == {i: plain.SPACE.findall(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.removed for r in line_dedup.report(d, least=1).collect()} == {0: "", 1: "0", 2: "0", 3: "", 4: "", 5: ""}
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch, rows):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     d = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)], SCHEMA)
