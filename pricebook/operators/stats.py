@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebook.functions.text import tokenize
+from pricebook.operators.scale import staged
 
 # Vocabularies of the keyword report.
 TECHNIQUES = (
@@ -91,7 +92,9 @@ def price_bands(flat, price="prix_unitaire", compat=False, n=20):
 
     Each item falls in one band (half-open); ``compat`` counts both edges, so
     an item on a cut is in two bands. Nothing comes out without deviation.
+    The columns used are written once, as bounds, counts and first elements each read all rows.
     """
+    flat = staged(flat.select(*dict.fromkeys(["id_element", "designation", "unite", "prix_unitaire", "prix_total", price])), "band-rows")
     x = F.col(price).cast("double")
     stats = flat.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mu"),
                      F.stddev_pop(x).alias("_sd")).filter("_sd > 0")
