@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pricebook.operators import relational as R
 from pricebook.operators import stats as D
 from pricebook.operators.scale import staged
+from pricebook.plans import q_search
 
 
 def shuffle_files(spark):
@@ -71,3 +72,16 @@ def test_price_bands_read_the_view_once(spark):
     bands = D.price_bands(flat)
     assert "Range (" not in bands._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["elements_count"] for r in bands.collect()) == sorted([7, 29, 28, 29, 7])
+
+
+def test_every_order_reads_the_same_rows(spark, monkeypatch):
+    flat, seen = Small(spark).flat(), []
+    monkeypatch.setattr(q_search, "flat", lambda t: seen.append(1) or flat)
+    out = q_search._sorts(None)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and len(seen) == 1
+    rows = [(r["mode"], r["id_element"]) for r in out.collect()]
+    for mode, column, down in (("price", "prix_unitaire", True), ("section", "numero_section", False)):
+        order = F.desc(column) if down else F.asc(column)
+        more = ["titre_section"] if mode == "section" else []
+        want = [r["id_element"] for r in flat.orderBy(order, *more, "designation", "id_element").limit(50).collect()]
+        assert [i for m, i in rows if m == mode] == want
