@@ -6,9 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pricebook.operators import quality as Q
 from pricebook.operators import relational as R
 from pricebook.operators import stats as D
-from pricebook.operators.scale import staged
+from pricebook.operators.scale import chunked_lists, staged
 from pricebook.plans import q_search
 
 
@@ -85,3 +86,28 @@ def test_every_order_reads_the_same_rows(spark, monkeypatch):
         more = ["titre_section"] if mode == "section" else []
         want = [r["id_element"] for r in flat.orderBy(order, *more, "designation", "id_element").limit(50).collect()]
         assert [i for m, i in rows if m == mode] == want
+
+
+def test_quality_report_counts_once(spark, no_broadcast):
+    t = Small(spark)
+    report = Q.quality_report(t.dpgf, t.lots, t.sections.withColumn("id_lot", F.col("id_section") + 1), t.elements, t.clients)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4             # rules and counts are read from files
+    rows = report.collect()
+    kinds = {(r["id_dpgf"], p["id_lot"], p["type"], p["id_section"]) for r in rows for p in r["problems"]}
+    assert kinds == {(10, 0, "lot_sans_elements", 0), (10, 0, "lot_sans_sections", 0), (10, 1, "lot_sans_sections", 0),
+                     (12, 4, "elements_sans_section", 0), (12, 4, "lot_sans_sections", 0)}
+
+
+def test_short_lists_move_once(spark, no_broadcast):
+    df = spark.range(60).select(F.when(F.col("id") > 3, F.when(F.col("id") < 40, 1).otherwise(F.col("id") % 4)).alias("k"), "id")
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        want.setdefault(r["k"], []).append(r["id"])
+    for size in (100, 10):
+        out = chunked_lists(df, ["k"], F.struct("id"), F.col("id"), size)
+        got = {(r["k"], r["part"]): [x["id"] for x in r["items"]] for r in out.collect()}
+        assert got == {(k, i // size): v[i:i + size] for k, v in want.items() for i in range(0, len(v), size)}
+        if size == 100:
+            plan = chunked_lists(df, ["k"], F.struct("id"), F.col("id"), size)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1
