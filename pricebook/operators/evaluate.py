@@ -1,5 +1,7 @@
 """How well the detectors did: patterns used, misses, suggestions, profile comparison."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pricebook.functions.text import first_rule, rx
@@ -104,17 +106,25 @@ def merge_patterns(patterns, suggested):
 
 
 def compare_profiles(a, b):
-    """Two parses of the same files: counts, totals and rows seen differently."""
+    """Two parses (of sections and elements) of the same files: counts, totals and rows seen differently."""
     key = [*SHEET, "row"]
+    lost = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in key])
 
     def side(df, s):
-        return df.groupBy(*key).agg(F.max("type").alias(f"type_{s}"), F.count_if(F.col("type") == "section").alias(f"sec_{s}"),
-                                    F.count_if(F.col("type") == "element").alias(f"el_{s}"),
-                                    F.sum(F.coalesce(F.col("prix_total").cast("decimal(18,2)"), F.lit(0))).alias(f"tot_{s}"))
-
-    j = side(a, "a").join(side(b, "b"), key, "full")
-    aggs = [F.coalesce(F.sum(f"{n}_{s}"), F.lit(0)).cast("bigint").alias(f"{label}_{s}")
+        return df.select(*key, F.lit(s).alias("_s"), "type", F.coalesce(F.col("prix_total").cast("decimal(18,2)"), F.lit(0)).alias("_tot"))
+
+    def seen(s):
+        """What a parse made of a row: a section wins over an element."""
+        return F.when(F.col(f"sec_{s}") > 0, "section").when(F.col(f"el_{s}") > 0, "element")
+
+    # both parses meet in one grouping by row; a row without a place stands alone in its parse
+    each = side(a, "a").unionByName(side(b, "b")).withColumn("_alone", F.when(lost, F.col("_s")))
+    j = each.groupBy(*key, "_alone").agg(*[x for s in ("a", "b") for x in (
+        F.count_if((F.col("_s") == s) & (F.col("type") == "section")).alias(f"sec_{s}"),
+        F.count_if((F.col("_s") == s) & (F.col("type") == "element")).alias(f"el_{s}"),
+        F.sum(F.when(F.col("_s") == s, F.col("_tot"))).alias(f"tot_{s}"))])
+    aggs = [F.sum(f"{n}_{s}").cast("bigint").alias(f"{label}_{s}")
             for s in ("a", "b") for n, label in (("sec", "sections"), ("el", "elements"))]
     return j.groupBy("file_id").agg(
         *aggs, *[F.coalesce(F.sum(f"tot_{s}").cast("double"), F.lit(0.0)).alias(f"total_{s}") for s in ("a", "b")],
-        F.count_if(~F.col("type_a").eqNullSafe(F.col("type_b"))).alias("differences"))
+        F.count_if(~seen("a").eqNullSafe(seen("b"))).alias("differences"))

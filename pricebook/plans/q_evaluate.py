@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pricebook.operators import evaluate as E
 from pricebook.operators import grid as G
+from pricebook.operators.scale import staged
 from pricebook.plans.fixtures import oracle
 from pricebook.plans.q_grid import header_sql, m
 from pricebook.plans.q_items import ATT, BUILD, FULL, ITEMS, items
@@ -37,10 +38,19 @@ MS = rf"""ms as (select file_id, sheet, row, text from (select r.file_id, r.shee
     where length(text) > 5 and ((upper(text) = text and lower(text) <> text) or regexp_matches(text, '^\s*\d+\.\d+') or regexp_matches(text, '^\s*[A-Z]\s*[-\.]\s+') or regexp_matches(text, '^\s*[IVX]{{1,4}}\s*[-\.]\s+')))"""
 
 
+def _weaker(it):
+    return it.filter("pattern is null or pattern like 'numbered%'")
+
+
 def _loose(t):
     """A weaker parse whose sections are the numbered ones only, so that some rows are missed."""
-    it = items(t)
-    return it.filter("pattern is null or pattern like 'numbered%'")
+    return _weaker(items(t))
+
+
+def _compared(t):
+    """The parse, run once and written with the columns compared, against the weaker one."""
+    it = staged(items(t).select("file_id", "sheet", "row", "type", "pattern", "prix_total"), "parsed")
+    return E.compare_profiles(it, _weaker(it))
 
 
 LOOSE = "it0 as ({}), it as (select * exclude (pattern) from it0 where type = 'element' or pattern like 'numbered%')"
@@ -81,7 +91,7 @@ def _patterns(t):
 
 reg("j06_merge_patterns", lambda t: E.merge_patterns(_patterns(t), E.suggest_patterns(_missed(t))),
     f"with {SG} select type, pattern, case when type = 'filename' then 'connu' else description end as description from sg", "rows", "workbooks", "files", "cells")
-reg("j07_compare_profiles", lambda t: E.compare_profiles(items(t), _loose(t)), f"""with {FULL}, {ATT}, {BUILD}, a0 as ({ITP}),
+reg("j07_compare_profiles", _compared, f"""with {FULL}, {ATT}, {BUILD}, a0 as ({ITP}),
     a as (select a0.*, coalesce(be.prix_total, 0)::decimal(18,2) as tot from a0 left join be on a0.type = 'element' and be.file_id = a0.file_id and be.sheet = a0.sheet and be.row = a0.row),
     b as (select * from a where type = 'element' or pattern like 'numbered%'),
     sa as (select file_id, sheet, row, max(type) as ty, count(*) filter (where type = 'section') as s, count(*) filter (where type = 'element') as e, sum(tot) as t from a group by all),

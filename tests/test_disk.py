@@ -6,11 +6,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from pricebook.operators import evaluate as E
 from pricebook.operators import quality as Q
 from pricebook.operators import relational as R
+from pricebook.operators import search as C
 from pricebook.operators import stats as D
 from pricebook.operators.scale import chunked_lists, staged
-from pricebook.plans import q_search
+from pricebook.plans import q_evaluate, q_search
+from tests.conftest import SF
 
 
 def shuffle_files(spark):
@@ -111,3 +115,38 @@ def test_short_lists_move_once(spark, no_broadcast):
         if size == 100:
             plan = chunked_lists(df, ["k"], F.struct("id"), F.col("id"), size)._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_match_report_gives_every_link_and_moves_none(spark, no_broadcast):
+    t = Small(spark)
+    items = spark.createDataFrame([(1, "Bolt 1"), (2, "bolt 1"), (3, "bolt 2"), (4, None), (5, "gear"), (5, "bolt 1")], "id_item long, designation string")
+    paths = t.sections.select("id_section", F.col("titre_section").alias("chemin"))
+    out = C.fuzzy_match_report(items, t.flat(), paths, 90.0)
+    path = {}
+    for r in paths.collect():
+        path.setdefault(r["id_section"], []).append(r["chemin"])
+    want = [(i["id_item"], e["id_element"], 100.0, e["nom_projet"], e["nom_lot"], c) for i in items.collect() for e in t.flat().collect()
+            if i["designation"] and i["designation"].lower() == e["designation"] for c in (path.get(e["id_section"], ["Inconnue"]) if e["id_section"] is not None else ["Inconnue"])]
+    got = out.select("id_item", "id_element", "score", "dpgf_source", "lot", "section").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+    plan = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert "rtext" in plan[0] and "id_section" not in plan[0]       # the last join makes the rows
+
+
+def test_registered_report_is_the_row_form(spark):
+    assert entry.queries()["c15_fuzzy_match_report"](spark, SF).columns == ["id_item", "id_element", "score", "dpgf_source", "lot", "section"]
+
+
+def test_profiles_are_compared_from_one_parse(spark, monkeypatch):
+    cols = "file_id long, sheet string, row int, type string, pattern string, prix_total double"
+    it = spark.createDataFrame([(1, "a", 1, "section", "numbered", None), (1, "a", 1, "element", None, 2.5), (1, "a", 2, "section", "upper", None), (1, "a", 3, "element", None, 1.0),
+                                (2, "a", 1, "section", "upper", None), (2, "a", 1, "element", None, 4.0), (None, "a", 1, "element", None, 3.0), (3, None, 1, "section", "upper", None)], cols)
+    seen = []
+    monkeypatch.setattr(q_evaluate, "items", lambda t: seen.append(1) or it)
+    out = q_evaluate._compared(None)
+    assert len(seen) == 1 and "LocalTableScan" not in out._jdf.queryExecution().executedPlan().toString()
+    names = ["file_id", "sections_a", "elements_a", "sections_b", "elements_b", "total_a", "total_b", "differences"]
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {
+        (1, 2, 2, 1, 2, 3.5, 3.5, 1), (2, 1, 1, 0, 1, 4.0, 4.0, 1), (None, 0, 1, 0, 1, 3.0, 3.0, 2), (3, 1, 0, 0, 0, 0.0, 0.0, 1)}
+    few = E.compare_profiles(it, it.filter("file_id = 1 and row = 1 and type = 'element'")).collect()
+    assert {r["file_id"]: r["differences"] for r in few}[1] == 3
